@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weirflow.llm.language_id import op8_language_id
+from weirflow.llm.license_scan import op3_license_scan
 from weirflow.llm.quality_rules import op2_quality_rules
+from weirflow.llm.simhash_dedup import op5_simhash_dedup
+from weirflow.llm.source_mix import op4_source_mix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules}
+    return {
+        "op2_quality_rules": op2_quality_rules,
+        "op3_license_scan": op3_license_scan,
+        "op4_source_mix": op4_source_mix,
+        "op5_simhash_dedup": op5_simhash_dedup,
+        "op8_language_id": op8_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
