@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm.language_id import op8_language_id
 from weirflow.llm.license_scan import op3_license_scan
+from weirflow.llm.passage_dedup import op10_passage_dedup
 from weirflow.llm.quality_rules import op2_quality_rules
 from weirflow.llm.simhash_dedup import op5_simhash_dedup
 from weirflow.llm.source_mix import op4_source_mix
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mix": op4_source_mix,
         "op5_simhash_dedup": op5_simhash_dedup,
         "op8_language_id": op8_language_id,
+        "op10_passage_dedup": op10_passage_dedup,
     }
 
 
