@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weirflow.llm.flac_media import op6_flac_media
 from weirflow.llm.language_id import op8_language_id
 from weirflow.llm.license_scan import op3_license_scan
 from weirflow.llm.passage_dedup import op10_passage_dedup
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_source_mix": op4_source_mix,
         "op5_simhash_dedup": op5_simhash_dedup,
+        "op6_flac_media": op6_flac_media,
         "op8_language_id": op8_language_id,
         "op10_passage_dedup": op10_passage_dedup,
     }
