@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm.flac_media import op6_flac_media
 from weirflow.llm.language_id import op8_language_id
+from weirflow.llm.length_packing import op7_length_packing
 from weirflow.llm.license_scan import op3_license_scan
+from weirflow.llm.line_dedup import op1_line_dedup
 from weirflow.llm.passage_dedup import op10_passage_dedup
 from weirflow.llm.quality_rules import op2_quality_rules
 from weirflow.llm.simhash_dedup import op5_simhash_dedup
@@ -17,11 +19,13 @@ from weirflow.llm.source_mix import op4_source_mix
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_quality_rules": op2_quality_rules,
         "op3_license_scan": op3_license_scan,
         "op4_source_mix": op4_source_mix,
         "op5_simhash_dedup": op5_simhash_dedup,
         "op6_flac_media": op6_flac_media,
+        "op7_length_packing": op7_length_packing,
         "op8_language_id": op8_language_id,
         "op10_passage_dedup": op10_passage_dedup,
     }
