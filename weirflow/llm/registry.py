@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from weirflow.llm.flac_media import op6_flac_media
 from weirflow.llm.language_id import op8_language_id
 from weirflow.llm.length_packing import op7_length_packing
@@ -15,6 +16,7 @@ from weirflow.llm.passage_dedup import op10_passage_dedup
 from weirflow.llm.quality_rules import op2_quality_rules
 from weirflow.llm.simhash_dedup import op5_simhash_dedup
 from weirflow.llm.source_mix import op4_source_mix
+from weirflow.llm.token_rollup import op9_token_rollup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,10 +29,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_flac_media": op6_flac_media,
         "op7_length_packing": op7_length_packing,
         "op8_language_id": op8_language_id,
+        "op9_token_rollup": op9_token_rollup,
         "op10_passage_dedup": op10_passage_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
