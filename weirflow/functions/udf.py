@@ -83,26 +83,17 @@ class UdfRegistry:
 
 
 def scalar(udf: Udf):  # noqa: ANN201
-    source, returns = udf.source, udf.returns
+    source = udf.source
 
     def run(*cols: pd.Series) -> pd.Series:
         call = compiled(source, "call")["call"]
         plain = [[None if pd.isna(v) else v for v in c.astype(object)] for c in cols]
         return pd.Series([call(*v) for v in zip(*plain, strict=True)], dtype=object)
 
-    run.__annotations__ = {"cols": pd.Series, "return": pd.Series}
-    out = F.pandas_udf(_typed(run), returns)
+    out = F.pandas_udf(run, udf.returns)
     return out if udf.deterministic else out.asNondeterministic()
 
 
-def _typed(run):  # noqa: ANN001, ANN202
-    def series(*cols: pd.Series) -> pd.Series:
-        return run(*cols)
-
-    series.__annotations__ = {"cols": pd.Series, "return": pd.Series}
-    return series
-
-
 def aggregate(udf: Udf, df: DataFrame, keys: list[str], column: str, output: str) -> DataFrame:
     """One row for each group.  Equal values are combined to one weighted row before a group meets in one task;
     a group is folded from its distinct values, which must fit there."""
