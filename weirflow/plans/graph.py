@@ -10,9 +10,10 @@ change of the result.  Every node follows changes by DataFrame algebra:
 * all else recomputes what shares a key with the change, before and after, and
   returns the difference.
 
-State lives in versioned folders.  A push writes a new version beside the one
-in force and takes its place only when all of it is there, so a push that
-fails leaves everything as it was.
+State lives in versioned folders.  A push adds what it changes, whatever the
+size of the state, as a new version beside the one in force, which it replaces
+only when all of it is there; a push that fails leaves everything as it was.
+What a push reads of the state are the rows that share a key with the change.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from weirflow.operators import batch
 from weirflow.operators import zset as z
 from weirflow.plans import nodes as p
-from weirflow.plans.state import StateStore
+from weirflow.plans.state import StateStore, Version
 
 Delta = DataFrame | None
 SUMS = ("count", "sum", "avg", "stddev_samp")
@@ -38,7 +39,12 @@ class StreamGraph:
     def __init__(self, plan: p.Plan, spark: SparkSession, folder: str | None = None) -> None:
         self.plan, self.spark = plan.validate(), spark
         self.store = StateStore(spark, plan.semantic_id(), folder)
-        self._nodes = {n.id: n for n in plan.nodes}
+        # Nodes that hold whole rows or sums notice a row that is taken away without being there; where such a node
+        # lies between the inputs and the result, the result need not be looked through for it.
+        self._guarded: dict[str, bool] = {}
+        for n in plan.nodes:
+            linear = isinstance(n, (p.Filter, p.Project, p.Watermark, p.IntervalJoin)) or getattr(n, "how", "") == "inner" or getattr(n, "mode", "") == "union_all"
+            self._guarded[n.id] = not isinstance(n, p.Input) and (not linear or all(self._guarded[i] for i in n.inputs()))
 
     # -- state ------------------------------------------------------------
 
@@ -48,11 +54,9 @@ class StreamGraph:
 
     def output(self) -> DataFrame:
         """The result as it is now, weighted."""
-        held = self.store.read("output")
-        if held is None:
+        if self.store.read("output") is None:
             self.push({})
-            held = self.store.read("output")
-        return held
+        return z.consolidate(self.store.read("output"))
 
     def result(self) -> DataFrame:
         """The result as a bag."""
@@ -60,7 +64,8 @@ class StreamGraph:
 
     def snapshot(self, version: int) -> DataFrame | None:
         """The result at an earlier version that is still kept."""
-        return self.store.read("output", version)
+        held = self.store.read("output", version)
+        return None if held is None else z.consolidate(held)
 
     # -- changes ----------------------------------------------------------
 
@@ -69,64 +74,63 @@ class StreamGraph:
         known = self.plan.inputs()
         if unknown := set(deltas) - set(known):
             raise p.PlanError(f"the plan has no input {sorted(unknown)}")
-        run = _Push(self, {k: z.weighted(d) for k, d in deltas.items()})
         with self.store.next_version() as version:
+            run = _Push(self, {k: z.weighted(d) for k, d in deltas.items()}, version)
             found: dict[str, Delta] = {}
             for n in self.plan.nodes:
-                run.version = version
                 found[n.id] = getattr(run, "on_" + type(n).__name__.lower())(n, *[found[i] for i in n.inputs()])
-            out = run.schema_of(self.plan.output, found)
-            delta = version.write("delta", z.consolidate(out))
-            total = z.add([self.store.read("output"), delta])
-            version.write("output", z.checked(z.consolidate(total), "output"))
+            out = found[self.plan.output]
+            held = self.store.read("output")
+            if out is None:
+                if held is None:
+                    raise p.PlanError("the first push needs every input, if only an empty one")
+                out = held.limit(0)
+            delta = version.share(z.consolidate(out))
+            if not self._guarded[self.plan.output]:
+                run.check_output(held, delta)
+            version.write("delta", delta)
+            version.append("output", delta, z.consolidate)
         return self.store.read("delta")
 
 
 class _Push:
     """One push: the old state, the changes, and the version being written."""
 
-    def __init__(self, graph: StreamGraph, deltas: dict[str, DataFrame]) -> None:
-        self.graph, self.spark, self.store, self.deltas = graph, graph.spark, graph.store, deltas
-        self.version = None
-
-    # Each handler returns the change of its node, or None where the node has had no rows ever.
-
-    def schema_of(self, output: str, found: dict[str, Delta]) -> DataFrame:
-        out = found[output]
-        if out is None:
-            raise p.PlanError("push a change of each input once, if only an empty one, so that its columns are known")
-        return out
+    def __init__(self, graph: StreamGraph, deltas: dict[str, DataFrame], version: Version) -> None:
+        self.graph, self.spark, self.store, self.deltas, self.version = graph, graph.spark, graph.store, deltas, version
 
     def hold(self, node: p.Node, side: str, delta: Delta) -> tuple[Delta, Delta]:
-        """(old, new) whole input of a node; new is written to the version."""
+        """(old, new) whole input of a node, not consolidated; the change is added to the state."""
         name = f"{node.id}.{side}"
         old = self.store.read(name)
-        total = z.add([old, delta])
-        if total is None:
-            return None, None
         if delta is None:
-            self.version.keep(name)
             return old, old
-        return old, self.version.write(name, z.checked(z.consolidate(total), name))
-
-    def settle(self, node: p.Node, delta: Delta) -> Delta:
-        """The change of a node, written once since several may read it."""
-        return None if delta is None else self.version.write(f"{node.id}.delta", z.consolidate(delta), lasting=False)
+        self.version.append(name, delta, z.consolidate)
+        return old, z.add([old, delta])
+
+    def settle(self, delta: Delta) -> Delta:
+        """The change of a node, computed once since several may read it."""
+        return None if delta is None else self.version.share(z.consolidate(delta))
+
+    def check_output(self, held: Delta, delta: DataFrame) -> None:
+        """A row that leaves the result must be in it."""
+        gone = delta.where(F.col(z.WEIGHT) < 0)
+        if gone.isEmpty():
+            return
+        cols = z.values(delta)
+        there = z.same_key(held, gone.select(*[batch.col(c) for c in cols]), cols) if held is not None else delta.limit(0)
+        if not z.consolidate(z.add([there, gone])).where(F.col(z.WEIGHT) < 0).isEmpty():
+            raise z.IntegrityError("a change takes away a row that is not there")
 
     # -- linear -----------------------------------------------------------
 
     def on_input(self, n: p.Input) -> Delta:
-        name = f"{n.id}.columns"
-        held, delta = self.store.read(name), self.deltas.get(n.name)
-        if delta is not None:
-            if n.columns:
-                delta = delta.select(*[batch.col(c) for c in n.columns], z.WEIGHT)
-            delta = self.settle(n, delta)
-            self.version.write(name, delta.limit(0))
-            return delta
-        if held is not None:
-            self.version.keep(name)
-        return held
+        delta = self.deltas.get(n.name)
+        if delta is None:
+            if self.store.version or n.schema is None:
+                return None
+            delta = self.spark.createDataFrame([], f"{n.schema}, {z.WEIGHT} long")
+        return delta.select(*[batch.col(c) for c in n.columns], z.WEIGHT) if n.columns else delta
 
     def on_filter(self, n: p.Filter, delta: Delta) -> Delta:
         return None if delta is None else delta.where(n.predicate)
@@ -147,7 +151,7 @@ class _Push:
             return meet(a, b).withColumn(z.WEIGHT, F.col("_wl") * F.col("_wr")).drop("_wl", "_wr")
 
         parts = [pair(left, old_r) if left is not None and old_r is not None else None, pair(new_l, right) if right is not None else None]
-        return self.settle(n, z.add(parts))
+        return self.settle(z.add(parts))
 
     def on_join(self, n: p.Join, left: Delta, right: Delta) -> Delta:
         if n.how == "inner":
@@ -163,7 +167,7 @@ class _Push:
     def touched(self, n: p.Node, deltas: list[Delta], keys: list[list[str]], fn: Callable, whole: bool = False) -> Delta:
         """fn over the rows whose keys a change touches, after and before.  keys: for each input its columns, in the same order."""
         held = [self.hold(n, side, d) for side, d in zip(("left", "right"), deltas, strict=False)]
-        if any(new is None for _, new in held):
+        if any(new is None for _, new in held) or all(d is None for d in deltas):
             return None
         if not whole:
             names = [f"_t{i}" for i in range(len(keys[0]))]
@@ -172,21 +176,29 @@ class _Push:
             cut = lambda df, ks: z.same_key(df, touched, ks)
         else:
             cut = lambda df, ks: df
-        new = [z.expand(cut(s, ks)) for (_, s), ks in zip(held, keys, strict=True)]
-        old = [z.expand(cut(s if s is not None else t.limit(0), ks)) for (s, t), ks in zip(held, keys, strict=True)]
-        return self.settle(n, z.difference(z.weighted(fn(*new)), z.weighted(fn(*old))))
+        bag = lambda df: z.expand(z.checked(z.consolidate(df), n.id))
+        new = [bag(cut(s, ks)) for (_, s), ks in zip(held, keys, strict=True)]
+        old = [bag(cut(s if s is not None else t.limit(0), ks)) for (s, t), ks in zip(held, keys, strict=True)]
+        return self.settle(z.difference(z.weighted(fn(*new)), z.weighted(fn(*old))))
 
     def on_distinct(self, n: p.Distinct, delta: Delta) -> Delta:
         return None if delta is None else self.touched(n, [delta], [z.values(delta)], DataFrame.distinct)
 
     def on_setop(self, n: p.SetOp, left: Delta, right: Delta) -> Delta:
-        if left is None or right is None:
-            held = [self.hold(n, s, d) for s, d in (("left", left), ("right", right))]
-            return None if any(h is None for h, _ in held) else held[0][0].limit(0)
-        right = right.toDF(*left.columns)
         if n.mode == "union_all":
-            return left.unionAll(right)
-        cols = z.values(left)
+            # By position; the first push fixes the names.
+            if left is None or right is None:
+                name = f"{n.id}.names"
+                held = self.store.read(name)
+                return left if left is not None else None if right is None else right.toDF(*held.columns)
+            if not self.store.version:
+                self.version.write(f"{n.id}.names", left.limit(0))
+            return left.unionAll(right.toDF(*left.columns))
+        ref = left if left is not None else self.store.read(f"{n.id}.left")
+        if ref is None:
+            return None
+        right = None if right is None else right.toDF(*ref.columns)
+        cols = z.values(ref)
         return self.touched(n, [left, right], [cols, cols], lambda a, b: batch.set_op(a, b, n.mode))
 
     def on_over(self, n: p.Over, delta: Delta) -> Delta:
@@ -206,7 +218,7 @@ class _Push:
         whole = not n.keys
         if whole and self.store.read(f"{n.id}.left") is None:
             new = self.hold(n, "left", delta)[1]
-            return self.settle(n, z.weighted(batch.aggregate(z.expand(new), n.keys, n.aggregates)))
+            return self.settle(z.weighted(batch.aggregate(z.expand(z.checked(z.consolidate(new), n.id)), n.keys, n.aggregates)))
         return self.touched(n, [delta], [list(n.keys)], lambda df: batch.aggregate(df, n.keys, n.aggregates), whole=whole)
 
     def running_sums(self, n: p.Node, delta: DataFrame, keys: tuple[str, ...], aggregates: tuple[p.Agg, ...]) -> DataFrame:
@@ -225,26 +237,19 @@ class _Push:
         by = [batch.col(k) for k in keys]
         name = f"{n.id}.sums"
         old = self.store.read(name)
-        change = (delta.groupBy(*by).agg(*sums) if keys else delta.agg(*sums)).withColumn("_before", F.lit(0))
-        fields = [c for c in change.columns if c not in (*keys, "_before")]
-        both = change if old is None else change.unionByName(
-            (z.same_key(old, change.select(*by), list(keys)) if keys else old).withColumn("_before", F.lit(1)), allowMissingColumns=True
-        )
-        total = [F.sum(f"`{f}`").alias(f) for f in fields]
+        change = self.version.share(delta.groupBy(*by).agg(*sums) if keys else delta.agg(*sums))
+        kinds = change.schema
+        fields = [c for c in change.columns if c not in keys]
+        total = [F.sum(f"`{f}`").cast(kinds[f].dataType).alias(f) for f in fields]
+        # Sums add up, so the change itself is what the state takes.
+        self.version.append(name, change, lambda df: (df.groupBy(*by).agg(*total).where("_n <> 0") if keys else df.agg(*total)))
+        both = change.withColumn("_before", F.lit(0))
+        if old is not None:
+            both = both.unionByName((z.same_key(old, change.select(*by), list(keys)) if keys else old).withColumn("_before", F.lit(1)))
         before = [F.sum(F.when(F.col("_before") == 1, F.col(f"`{f}`"))).alias(f"_old{f}") for f in fields]
         moved = both.groupBy(*by).agg(*total, *before) if keys else both.agg(*total, *before)
-        moved = self.version.write(f"{n.id}.moved", moved, lasting=False)
-        kinds = change.schema
-        now = moved.select(*by, *[F.col(f"`{f}`").cast(kinds[f].dataType).alias(f) for f in fields])
         bad = F.raise_error(F.lit(f"{n.id}: a change takes away a row that is not there")).cast("long")
-        now = now.withColumn("_n", F.when(F.col("_n") < 0, bad).otherwise(F.col("_n")))
-        rest = z.add([old]) if old is None or not keys else old.join(
-            moved.select(*[batch.col(k).alias(f"_m{i}") for i, k in enumerate(keys)]),
-            reduce(lambda a, b: a & b, [old[f"`{k}`"].eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)]),
-            "left_anti",
-        )
-        kept = now.where("_n > 0") if keys else now
-        self.version.write(name, z.add([rest if keys else None, kept]))
+        moved = self.version.share(moved.withColumn("_n", F.when(F.col("_n") < 0, bad).otherwise(F.col("_n"))))
 
         def shown(prefix: str) -> list[Column]:
             out = []
@@ -266,7 +271,7 @@ class _Push:
         existed = F.coalesce(F.col("_old_n"), F.lit(0)) > 0 if keys else F.lit(old is not None)
         plus = moved.where(exists).select(*by, *shown(""), F.lit(1).cast("long").alias(z.WEIGHT))
         minus = moved.where(existed).select(*by, *shown("_old"), F.lit(-1).cast("long").alias(z.WEIGHT))
-        return self.settle(n, plus.unionAll(minus))
+        return self.settle(plus.unionAll(minus))
 
     # -- time -------------------------------------------------------------
 
@@ -275,7 +280,8 @@ class _Push:
         name = f"{n.id}.time"
         seen = delta.where(F.col(z.WEIGHT) > 0).select(batch.col(column).cast("long").alias("_max"))
         old = self.store.read(name)
-        return self.version.write(name, (seen if old is None else seen.unionAll(old)).agg(F.max("_max").alias("_max")))
+        top = (seen if old is None else seen.unionAll(old)).agg(F.max("_max").alias("_max"))
+        return self.version.write(name, self.version.share(top))
 
     def _late(self, n: p.Node, delta: DataFrame, column: str, lateness: int) -> DataFrame:
         """delta with _late; the one-row side is broadcast."""
@@ -288,15 +294,15 @@ class _Push:
             return None
         marked = self._late(n, delta, n.time, n.lateness)
         if n.policy == "side":
-            return self.settle(n, marked)
-        return self.settle(n, (marked.where("_late = 0") if n.policy == "drop" else marked).drop("_late"))
+            return self.settle(marked)
+        return self.settle((marked.where("_late = 0") if n.policy == "drop" else marked).drop("_late"))
 
     def on_timewindow(self, n: p.TimeWindow, delta: Delta) -> Delta:
         if delta is None:
             return None
         if n.late_policy == "drop" or n.ttl is not None:
             marked = self._late(n, delta, n.time, n.lateness)
-            delta = self.settle(n, (marked.where("_late = 0") if n.late_policy == "drop" else marked).drop("_late"))
+            delta = self.settle((marked.where("_late = 0") if n.late_policy == "drop" else marked).drop("_late"))
         delta = delta.where(batch.col(n.time).isNotNull())
         if n.kind == "session":
             out = self.touched(n, [delta], [list(n.keys)], lambda df: batch.sessions(df, n), whole=not n.keys)
@@ -312,27 +318,24 @@ class _Push:
         """The change of what is shown once windows that ended before the watermark less ttl are taken out."""
         name = f"{n.id}.shown"
         old = self.store.read(name)
-        top = self.version.written(f"{n.id}.time")
-        live = z.consolidate(z.add([self._all_windows(n), out])) if old is not None else out
-        self.version.write(f"{n.id}.windows", live)
+        top = self.version.pending[f"{n.id}.time"]
+        live = z.consolidate(z.add([self.store.read(f"{n.id}.windows"), out]))
+        self.version.append(f"{n.id}.windows", out, z.consolidate)
         kept = live.crossJoin(F.broadcast(top)).where(F.col("w_end") > F.col("_max") - n.lateness - n.ttl).drop("_max")
-        kept = self.version.write(name, kept)
-        return self.settle(n, z.difference(kept, old) if old is not None else kept)
-
-    def _all_windows(self, n: p.TimeWindow) -> Delta:
-        return self.store.read(f"{n.id}.windows")
+        kept = self.version.write(name, self.version.share(kept))
+        return self.settle(z.difference(kept, old) if old is not None else kept)
 
     # -- whole inputs -----------------------------------------------------
 
     def _whole(self, n: p.Recompute | p.Recursive, deltas: tuple[Delta, ...], fn: Callable) -> Delta:
         held = [self.hold(n, t, d) for t, d in zip(n.tables, deltas, strict=True)]
-        if any(new is None for _, new in held):
+        if any(new is None for _, new in held) or all(d is None for d in deltas):
             return None
-        new = fn([z.expand(new) for _, new in held])
+        new = fn([z.expand(z.checked(z.consolidate(new), n.id)) for _, new in held])
         name = f"{n.id}.result"
         old = self.store.read(name)
-        now = self.version.write(name, z.consolidate(z.weighted(new)))
-        return self.settle(n, now if old is None else z.difference(now, old))
+        now = self.version.write(name, self.version.share(z.consolidate(z.weighted(new))))
+        return self.settle(now if old is None else z.difference(now, old))
 
     def on_recompute(self, n: p.Recompute, *deltas: Delta) -> Delta:
         return self._whole(n, deltas, lambda frames: self.spark.sql(n.sql, **_named(n.tables, frames)))

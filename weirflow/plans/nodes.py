@@ -57,8 +57,11 @@ class Node:
 
 @dataclass(frozen=True)
 class Input(Node):
+    """schema, in DDL, lets a push leave the input out from the start."""
+
     name: str
     columns: tuple[str, ...] = ()
+    schema: str | None = None
 
 
 @dataclass(frozen=True)

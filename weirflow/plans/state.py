@@ -1,18 +1,22 @@
 """State in versioned folders with a manifest that is put in place by one rename.
 
-A version holds Parquet folders under names and may point to those of earlier
-versions.  Readers pin a version; versions below the least of the pins and of
-what is to be kept are deleted.
+A name stands for a list of Parquet folders whose rows add up, so a version
+writes only what it changes and points to folders of earlier versions for the
+rest.  Readers pin a version; versions below the least of the pins and of what
+is to be kept are deleted.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from weirflow.sources.folders import Folder, shared_root
 
@@ -22,33 +26,62 @@ class StateError(RuntimeError):
 
 
 class Version:
-    """What a push writes."""
+    """What a push writes.  Writes are gathered and run side by side when the version is committed."""
 
-    def __init__(self, store: StateStore, number: int) -> None:
-        self.store, self.number, self.paths, self.passing = store, number, {}, set()
-
-    def write(self, name: str, df: DataFrame, lasting: bool = True) -> DataFrame:
-        path = f"v{self.number:012d}-{uuid.uuid4().hex[:8]}/{name}"
-        full = self.store.folder.path(path)
-        df.write.parquet(full)
-        self.paths[name] = path
-        if not lasting:
-            self.passing.add(name)
-        return self.store.spark.read.schema(df.schema).parquet(full)
+    #: Folders that a name may have before they are folded into one.
+    MOST_PARTS = 8
 
-    def keep(self, name: str) -> None:
-        """Carry what the last version has under the name."""
-        self.paths[name] = self.store.manifest["paths"][name]
-
-    def written(self, name: str) -> DataFrame:
-        return self.store.spark.read.parquet(self.store.folder.path(self.paths[name]))
+    def __init__(self, store: StateStore, number: int) -> None:
+        self.store, self.number = store, number
+        self.paths: dict[str, list[str]] = {k: list(v) for k, v in store.manifest["paths"].items()}
+        self.schemas: dict[str, dict] = dict(store.manifest["schemas"])
+        self.pending: dict[str, DataFrame] = {}
+        self.held: list[DataFrame] = []
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """df takes the place of what the name has had."""
+        self.paths[name] = []
+        return self._later(name, df)
+
+    def append(self, name: str, df: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> None:
+        """df adds to what the name has; fold makes one collection of many parts."""
+        if len(self.paths.get(name, ())) >= self.MOST_PARTS:
+            self.write(name, fold(self.store.read(name).unionByName(df)))
+        else:
+            self.paths.setdefault(name, [])
+            self._later(name, df)
+
+    def share(self, df: DataFrame) -> DataFrame:
+        """df, computed once for all that read it in this version; a lost part is computed again."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
+    def _later(self, name: str, df: DataFrame) -> DataFrame:
+        self.pending[name] = df
+        self.schemas[name] = df.schema.jsonValue()
+        return df
+
+    def run(self) -> None:
+        folder = f"v{self.number:012d}-{uuid.uuid4().hex[:8]}"
+
+        def one(name: str) -> None:
+            self.pending[name].write.parquet(self.store.folder.path(f"{folder}/{name}"))
+
+        with ThreadPoolExecutor(max(1, min(6, len(self.pending)))) as pool:
+            list(pool.map(one, self.pending))
+        for name in self.pending:
+            self.paths[name].append(f"{folder}/{name}")
+
+    def close(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 class StateStore:
     def __init__(self, spark: SparkSession, identity: str, folder: str | None = None) -> None:
         self.spark = spark
         self.folder = Folder(spark, folder or f"{shared_root(spark)}/weirflow-state-{uuid.uuid4().hex}", passing=folder is None)
-        self.manifest = {"identity": identity, "version": 0, "paths": {}, "pins": {}, "savepoints": {}}
+        self.manifest = {"identity": identity, "version": 0, "paths": {}, "schemas": {}, "pins": {}, "savepoints": {}}
         if names := [n for n in self.folder.names() if n.startswith("manifest-")]:
             held = json.loads(self.folder.read_text(max(names)))
             if held["identity"] != identity:
@@ -61,8 +94,11 @@ class StateStore:
 
     def read(self, name: str, version: int | None = None) -> DataFrame | None:
         held = self.manifest if version is None or version == self.version else self._manifest(version)
-        path = held["paths"].get(name)
-        return None if path is None else self.spark.read.parquet(self.folder.path(path))
+        paths = held["paths"].get(name)
+        if not paths:
+            return None
+        schema = StructType.fromJson(held["schemas"][name])
+        return self.spark.read.schema(schema).parquet(*map(self.folder.path, paths))
 
     def scratch(self, df: DataFrame) -> DataFrame:
         path = self.folder.path(f"scratch/{uuid.uuid4().hex}")
@@ -78,9 +114,12 @@ class StateStore:
     @contextmanager
     def next_version(self) -> Iterator[Version]:
         v = Version(self, self.version + 1)
-        yield v  # an exception leaves the manifest, and with it the state, as it was
-        paths = {k: x for k, x in v.paths.items() if k not in v.passing}
-        self._commit({**self.manifest, "version": v.number, "paths": paths})
+        try:
+            yield v  # an exception leaves the manifest, and with it the state, as it was
+            v.run()
+            self._commit({**self.manifest, "version": v.number, "paths": v.paths, "schemas": v.schemas})
+        finally:
+            v.close()
 
     def _commit(self, manifest: dict) -> None:
         self.folder.write_text(f"manifest-{manifest['version']:012d}", json.dumps(manifest, sort_keys=True))
@@ -107,7 +146,7 @@ class StateStore:
         if at is None:
             raise StateError(f"there is no savepoint {name}")
         held = self.manifest if at == self.version else self._manifest(at)
-        self._commit({**self.manifest, "version": self.version + 1, "paths": held["paths"]})
+        self._commit({**self.manifest, "version": self.version + 1, "paths": held["paths"], "schemas": held["schemas"]})
 
     def floor(self, keep: int = 1) -> int:
         """The least version that must stay."""
@@ -118,7 +157,7 @@ class StateStore:
         floor = self.floor(keep)
         names = self.folder.names()
         manifests = [n for n in names if n.startswith("manifest-")]
-        needed = {x.split("/")[0] for n in manifests if int(n[9:]) >= floor for x in json.loads(self.folder.read_text(n))["paths"].values()}
+        needed = {x.split("/")[0] for n in manifests if int(n[9:]) >= floor for parts in json.loads(self.folder.read_text(n))["paths"].values() for x in parts}
         gone = [n for n in names if n == "scratch" or n.startswith("v") and n not in needed] + [n for n in manifests if int(n[9:]) < floor]
         for n in gone:
             self.folder.delete(n)
