@@ -87,21 +87,47 @@ def trigger_hashes(data: np.ndarray) -> np.ndarray:
     return _mix(h)
 
 
+_power = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of _P, kept for the next call unless a single text asks for very many."""
+    global _power
+    if len(_power) >= n:
+        return _power[:n]
+    out = np.full(n, _P)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if n <= 4 * CHUNK_BYTES:
+        _power = out
+    return out
+
+
+def stretch_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of the data."""
+    n = len(data)
+    power = _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+    return _mix((total[start + size] - total[start]) * power[n - start] + np.asarray(size).astype(np.uint64) * _A)
+
+
 class Parse:
     """Phrases of a chunk: the first start of each, the number of starts, the document, and its trigger's hash."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, lens: np.ndarray, block: int = 1 << 19) -> None:
+    def __init__(self, ids: np.ndarray, data: np.ndarray, lens: np.ndarray, block: int = (1 << 19) - 64) -> None:
         self.ids, self.data, self.lens = ids, data, lens
         self.offsets = np.concatenate([[0], np.cumsum(lens)])[:-1]
         n = max(0, len(data) - MATCH + 1)
         at = np.empty(n, np.int64)
         key = np.zeros(n and len(data) - TRIGGER + 1, np.uint64)
-        low = np.uint64((1 << 24) - 1)
+        low = np.uint32((1 << 19) - 1)
         for b in range(0, n, block):
             part = data[b : min(b + block, n) + MATCH - 1]
             h = trigger_hashes(part)
             key[b : b + len(h)] = h
-            h = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first counts
+            # The top 13 bits choose, and of equal ones the first place.
+            h = ((h >> np.uint64(51)).astype(np.uint32) << np.uint32(19)) | np.arange(len(h), dtype=np.uint32)
             size = 1
             while size * 2 <= SPAN:
                 h = np.minimum(h[:-size], h[size:])
@@ -122,15 +148,7 @@ class Parse:
 
     def phrase_hashes(self) -> np.ndarray:
         """A 64-bit hash of each phrase with the bytes that extend it."""
-        n = len(self.data)
-        power = np.empty(n + 1, np.uint64)
-        power[0] = 1
-        power[1:] = _P
-        np.multiply.accumulate(power, out=power)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * power[:n], out=total[1:])
-        end = self.start + self.size + MATCH - 1
-        return _mix((total[end] - total[self.start]) * power[n - self.start] + self.size.astype(np.uint64) * _A)
+        return stretch_hashes(self.data, self.start, self.size + MATCH - 1)
 
     def deduplicate(self) -> np.ndarray:
         """Set `heads`, the first occurrence of each distinct phrase, and for all phrases `head_at`, its place there; return the hashes of the heads."""
@@ -284,27 +302,29 @@ def dictionary_rows(judged: DataFrame, n_buckets: int) -> DataFrame:
 def repeated_starts(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, part: int = 1 << 20) -> np.ndarray:
     """For each phrase of a dictionary a bit for each start whose match an earlier document has.
 
-    The suffixes of at least MATCH bytes are sorted by their first MATCH bytes; the
-    runs of equal ones are the matches.
+    The suffixes of at least MATCH bytes are sorted by the hash of their first MATCH
+    bytes and then by those bytes; the runs of equal ones are the matches.
     """
     starts = sizes - MATCH + 1
     owner = np.repeat(np.arange(len(sizes)), starts)
-    ahead = np.cumsum(starts) - starts
-    place = np.arange(len(owner)) - ahead[owner]
+    place = np.arange(len(owner)) - (np.cumsum(starts) - starts)[owner]
     at = (np.cumsum(sizes) - sizes)[owner] + place
+    hashes = stretch_hashes(data, at, np.int64(MATCH))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
     spots = [*range(0, MATCH - 7, 8), *([MATCH - 8] if MATCH % 8 else [])]
-    keys = [words[at + s].astype(np.uint64) for s in spots]
-    order = np.lexsort(keys[::-1])
-    differs = np.zeros(max(0, len(order) - 1), bool)
-    for x in keys:
-        x = x[order]
-        differs |= x[1:] != x[:-1]
-    new = np.append(True, differs)
-    least = np.minimum.reduceat(doc[owner][order], np.flatnonzero(new))
-    found = np.empty(len(order), bool)
-    found[order] = least[np.cumsum(new) - 1] < doc[owner][order]
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    pairs = np.flatnonzero(same)
+    here, there = at[order[pairs]], at[order[pairs + 1]]
+    if any((words[here + s] != words[there + s]).any() for s in spots):  # suffixes that share a hash but not their bytes
+        keys = [words[at + s].astype(np.uint64) for s in spots]
+        order = np.lexsort([*keys[::-1], hashes])
+        same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (hashes, *keys)])
+    new = np.append(True, ~same)
+    owned = doc[owner[order]]
+    least = np.minimum.reduceat(owned, np.flatnonzero(new))
+    found = order[least[np.cumsum(new) - 1] < owned]
     bits = np.zeros(len(sizes), np.uint64)
     np.bitwise_or.at(bits, owner[found], np.uint64(1) << place[found].astype(np.uint64))
     return bits
