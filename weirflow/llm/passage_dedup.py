@@ -161,7 +161,9 @@ class Parse:
         return phrases[self.heads]
 
     def buckets(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each bucket with the places of its phrases in `heads`, in order."""
+        """Each bucket with the places of its phrases in `heads`, in order; none for texts that are all shorter than a match."""
+        if not len(self.heads):
+            return
         bucket = ((self.trigger[self.heads] >> np.uint64(40)) % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         held, at = np.unique(bucket[order], return_index=True)
