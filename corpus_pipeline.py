@@ -15,7 +15,7 @@ from weirflow.llm._shared import scratch_path, table, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words in a shard of the mix, about; and the least and most shards.
-SHARD_WORDS, SHARDS = 1 << 26, (16, 4096)
+SHARD_WORDS, SHARDS = 1 << 22, (16, 16384)
 
 #: The stages fit models and draw at random, which SQL can't express; tests hold each against brute force.
 ORACLE_SQL = None

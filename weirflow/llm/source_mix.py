@@ -197,7 +197,7 @@ def mixed_documents(docs: DataFrame, n_shards: int = 16, seed: int = 7) -> DataF
     d, m = docs.alias("d"), drawn.alias("m")
     rows = d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")))
     rows = rows.select(*[F.col(f"d.`{c}`") for c in cols], F.col("m.unit").alias("_unit"), F.posexplode("m.shards").alias("_pass", "_shard"))
-    out = rows.repartition(n_shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_unit", "_pass", F.lit(seed)))
+    out = rows.repartitionById(n_shards, F.col("_shard")).sortWithinPartitions("_shard", F.xxhash64("_unit", "_pass", F.lit(seed)))
     return out.select(*cols)
 
 
