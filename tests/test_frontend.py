@@ -1,7 +1,9 @@
 import pytest
 
+from weirflow.functions.udf import macro
 from weirflow.plans import nodes as p
 from weirflow.plans.frontend import Unsupported, compile_sql
+from weirflow.plans.graph import StreamGraph
 from weirflow.plans.sharing import Admission, Cost, pareto, reuse
 
 
@@ -106,3 +108,35 @@ def test_admission():
     gate = Admission(max_jobs=1)
     assert gate.request("a") and not gate.request("b") and not gate.request("c")
     assert gate.release("a") == ["b"]
+
+
+def maintained(spark, sql, rows, ddl):
+    graph = StreamGraph(compile_sql(spark, sql, {"t": spark.createDataFrame([], ddl).schema}), spark)
+    for part in (rows[::2], rows[1::2]):
+        graph.push({"t": spark.createDataFrame(part, ddl)})
+    return sorted(tuple(r) for r in graph.result().collect())
+
+
+def test_filter_clauses(spark):
+    rows = [(i, i % 3) for i in range(10)]
+    got = maintained(spark, "SELECT k, COUNT(*) FILTER (WHERE id > 4) AS n, SUM(id) FILTER (WHERE id < 4) AS s FROM t GROUP BY k", rows, "id int, k int")
+    assert got == [(k, sum(i > 4 for i, x in rows if x == k), sum(i for i, x in rows if x == k and i < 4)) for k in range(3)]
+
+
+def test_window_functions_in_sql(spark):
+    rows = [(t,) for t in (3, 8, 20, -2)]
+    assert maintained(spark, "SELECT tumble_start(ts, 10) AS w, COUNT(*) AS n FROM t GROUP BY tumble_start(ts, 10)", rows, "ts bigint") == [(-10, 1), (0, 2), (20, 1)]
+    got = maintained(spark, "SELECT w, COUNT(*) AS n FROM t LATERAL VIEW explode(hop_starts(ts, 10, 5)) x AS w GROUP BY w", rows, "ts bigint")
+    want: dict = {}
+    for (t,) in rows:
+        for s in range(-20, 30, 5):
+            if s <= t < s + 10:
+                want[s] = want.get(s, 0) + 1
+    assert got == sorted(want.items())
+    got = maintained(spark, "SELECT w, COUNT(*) AS n FROM t LATERAL VIEW explode(cumulate_ends(ts, 20, 10)) x AS w GROUP BY w", rows, "ts bigint")
+    assert got == [(0, 1), (10, 2), (20, 2), (30, 1), (40, 1)]
+
+
+def test_macros_are_known(spark):
+    macro(spark, "wf_third", "x INT", "INT", "x DIV 3")
+    assert maintained(spark, "SELECT wf_third(id) AS b, COUNT(*) AS n FROM t GROUP BY wf_third(id)", [(i,) for i in range(6)], "id int") == [(0, 3), (1, 3)]
