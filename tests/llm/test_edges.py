@@ -1,5 +1,6 @@
 """Every operator over nulls, blanks, ties, repeated rows, clashing columns, very long texts and empty tables."""
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -45,3 +46,19 @@ def test_stage(k, spark, docs, nothing, tables):
         assert [f.dataType for f in out.schema] == [docs.schema[c].dataType for c in corpus_pipeline.COLUMNS]
     assert out.count() > 0
     assert stage(spark, nothing, tables["empty"]).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("where", ["full", "empty", "data"])
+def test_sql(name, where, spark, tables, sf_dir):
+    """The same rows from SQL, over the corpus of these tests, no rows, and the test data."""
+    folder = tables.get(where, sf_dir)
+    con = duckdb.connect()
+    files = f"{folder}/documents.parquet" + ("" if where == "data" else "/*.parquet")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+    rel = con.sql(registry.oracle_sql()[name])
+    cols = sorted(rel.columns)
+    got = QUERIES[name](spark, folder)
+    assert sorted(got.columns) == cols
+    want = [tuple(dict(zip(rel.columns, r, strict=True))[c] for c in cols) for r in rel.fetchall()]
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in cols)) for r in got.collect())

@@ -25,18 +25,17 @@ ROLLING, ONE_IN, MOST = 2, 4, 16
 def chunk_ends(lines: Column, rolling: int = ROLLING, one_in: int = ONE_IN, most: int = MOST) -> Column:
     """Line numbers, from 1, after which a chunk ends; the last is the number of lines.
 
-    A boundary falls where the hash of the last `rolling` lines is 0 modulo
-    `one_in`; stretches without one are cut every `most` lines.
+    A boundary falls where the MD5 of the MD5s of the last `rolling` lines, of
+    which the first 32 bits count, is 0 modulo `one_in`; stretches without one
+    are cut every `most` lines.
     """
 
     def from_hashes(h: Column) -> Column:
         n = F.size(h)
 
         def rolled(i: Column) -> Column:
-            out = F.lit(0).cast("bigint")
-            for back in range(rolling):
-                out = F.xxhash64(out, F.coalesce(F.get(h, i - 1 - back), F.lit(0).cast("bigint")))
-            return F.pmod(out, F.lit(one_in))
+            last = F.concat(*[F.coalesce(F.get(h, i - 1 - back), F.lit("")) for back in range(rolling)])
+            return F.pmod(F.conv(F.substring(F.md5(last), 1, 8), 16, 10).cast("long"), F.lit(one_in))
 
         chosen = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolled(i) == 0))
 
@@ -53,7 +52,7 @@ def chunk_ends(lines: Column, rolling: int = ROLLING, one_in: int = ONE_IN, most
 
         return let(chosen, spaced)
 
-    return let(F.transform(lines, lambda x: F.xxhash64(x)), from_hashes)
+    return let(F.transform(lines, F.md5), from_hashes)
 
 
 def line_chunks(text: Column) -> Column:
@@ -151,3 +150,28 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length(text).cast("long").alias("kept_chars"),
         F.sha2(text, 256).alias("kept_sha256"),
     )
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n FROM d),
+h AS (SELECT *, md5(md5(line) || coalesce(lag(md5(line)) OVER (PARTITION BY doc_id ORDER BY i), '')) AS r FROM l),
+e AS (SELECT *, CASE WHEN i = n OR ('0x' || substr(r, 1, 8))::BIGINT % {ONE_IN} = 0 THEN i END AS b FROM h),
+s AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e),
+c AS (
+  SELECT doc_id, min(i) AS place, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS content
+  FROM s GROUP BY doc_id, before, (i - before - 1) // {MOST}
+),
+f AS (
+  SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY content, n_lines >= 2 ORDER BY doc_id, place) > 1 AS gone FROM c
+),
+g AS (
+  SELECT doc_id, sum(n_lines) AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed,
+    coalesce(sum(n_lines) FILTER (WHERE gone), 0) AS n_removed_lines,
+    coalesce(string_agg(content, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS kept
+  FROM f GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_chunks, 0) AS BIGINT) AS n_chunks,
+  CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_removed_lines, 0) AS BIGINT) AS n_removed_lines,
+  CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN g USING (doc_id)"""

@@ -425,3 +425,25 @@ def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_byte
 
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Two hexadecimal digits stand for a byte.
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - {MATCH - 1})) AS p, h FROM d WHERE len(h) >= {2 * MATCH}),
+x AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * MATCH}) AS s FROM w),
+m AS (SELECT s, min(doc_id) AS first FROM x GROUP BY s),
+c AS (SELECT doc_id, p FROM x JOIN m USING (s) WHERE first < doc_id),
+o AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {MATCH} THEN 0 ELSE 1 END AS opens FROM c),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o),
+s AS (SELECT doc_id, min(p) AS a, max(p) + {MATCH} AS b FROM r GROUP BY doc_id, run),
+k AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+t AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM k JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)"""

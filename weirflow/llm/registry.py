@@ -11,8 +11,8 @@ from weirflow.llm.flac_media import op6_flac_media
 from weirflow.llm.language_id import op8_language_id
 from weirflow.llm.length_packing import op7_length_packing
 from weirflow.llm.license_scan import op3_license_scan
-from weirflow.llm.line_dedup import op1_line_dedup
-from weirflow.llm.passage_dedup import op10_passage_dedup
+from weirflow.llm.line_dedup import OP1_SQL, op1_line_dedup
+from weirflow.llm.passage_dedup import OP10_SQL, op10_passage_dedup
 from weirflow.llm.quality_rules import op2_quality_rules
 from weirflow.llm.simhash_dedup import op5_simhash_dedup
 from weirflow.llm.source_mix import op4_source_mix
@@ -37,4 +37,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    out = {"op1_line_dedup": OP1_SQL, "op10_passage_dedup": OP10_SQL}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
