@@ -15,7 +15,7 @@ from weirflow.llm.line_dedup import OP1_SQL, op1_line_dedup
 from weirflow.llm.passage_dedup import OP10_SQL, op10_passage_dedup
 from weirflow.llm.quality_rules import op2_quality_rules
 from weirflow.llm.simhash_dedup import op5_simhash_dedup
-from weirflow.llm.source_mix import op4_source_mix
+from weirflow.llm.source_mix import OP4_SQL, op4_source_mix
 from weirflow.llm.token_rollup import op9_token_rollup
 
 
@@ -37,5 +37,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    out = {"op1_line_dedup": OP1_SQL, "op10_passage_dedup": OP10_SQL}
+    out = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op10_passage_dedup": OP10_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

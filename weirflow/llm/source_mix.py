@@ -24,6 +24,8 @@ from weirflow.llm._shared import materialize, table, word_count
 WEIGHTS = (5, 2, 1)
 #: Bounds of a block: about so many words or documents, and so many blocks a source.
 BLOCK_WORDS, BLOCK_DOCS, MAX_BLOCKS = 1 << 19, 2048, 1 << 16
+#: Of the query: output shards, and what draws depend on besides the rows.
+N_SHARDS, SEED = 16, 7
 #: Documents after the end of the target that may still fill what is left of it.
 FILL = 256
 
@@ -103,7 +105,7 @@ def _unit(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
-def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7) -> Mix:
+def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> Mix:
     """Draw the mix from rows (doc_id, text, source).
 
     A null text has size 0; null sources are one source.  Rows with the same
@@ -187,7 +189,7 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 7) -> Mix:
     )
 
 
-def mixed_documents(docs: DataFrame, n_shards: int = 16, seed: int = 7) -> DataFrame:
+def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
     """The mix as rows of docs, dealt to n_shards partitions and shuffled inside each.
 
     A document drawn twice gives two rows.
@@ -202,7 +204,7 @@ def mixed_documents(docs: DataFrame, n_shards: int = 16, seed: int = 7) -> DataF
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mix(table(spark, sf_dir, "documents")).draws
+    drawn = mix(table(spark, sf_dir, "documents"), N_SHARDS, SEED).draws
     return drawn.select(
         "doc_id",
         "size",
@@ -210,5 +212,53 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         (F.col("size") * F.size("shards")).alias("taken"),
         F.size("shards").alias("draws"),
-        F.concat_ws(",", F.transform("shards", lambda s: s.cast("string"))).alias("shards"),
     )
+
+
+#: What is taken does not depend on which shard draws it, so the same in SQL needs no tree.
+OP4_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{SEED}') AS unit
+  FROM documents
+),
+s1 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY source),
+s2 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM s1),
+s3 AS (SELECT *, ({list(WEIGHTS)})[place % {len(WEIGHTS)} + 1] AS weight, 2 * source_size AS most FROM s2),
+s4 AS (
+  SELECT *, row_number() OVER w AS rk, 3 * sum(source_size) OVER () - 2 * coalesce(sum(most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num,
+    2 * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS den
+  FROM s3 WINDOW w AS (ORDER BY CAST(most AS DOUBLE) / weight, place)
+),
+s5 AS (SELECT *, num * weight >= most * den AS stops FROM s4),
+s6 AS (SELECT *, first(struct_pack(num := num, den := den) ORDER BY CASE WHEN stops THEN NULL ELSE rk END NULLS LAST) OVER () AS level FROM s5),
+s7 AS (SELECT *, CASE WHEN stops THEN CAST(most AS DOUBLE) ELSE CAST(weight * level.num AS DOUBLE) / CAST(level.den AS DOUBLE) END AS target FROM s6),
+s AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INT) ELSE 0 END AS passes,
+    least({MAX_BLOCKS}, 1 + source_size // {BLOCK_WORDS} + n_docs // {BLOCK_DOCS}) AS n_blocks
+  FROM s7
+),
+h AS (
+  SELECT d.*, source_size, target, place, passes, target - passes * source_size AS rest,
+    CAST(('0x' || substr(unit, 1, 4))::BIGINT * n_blocks // 65536 AS INT) AS block
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+),
+b1 AS (SELECT place, block, sum(size) AS words, first(rest) AS rest FROM h GROUP BY place, block),
+b2 AS (SELECT *, sum(words) OVER (PARTITION BY place ORDER BY md5(place || '|' || block || '|{SEED}'), block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM b1),
+b AS (SELECT place, block, upto <= rest AS whole, upto > rest AND upto - words < rest AS ends, rest - upto + words AS room FROM b2),
+l1 AS (SELECT h.place, doc_id, unit, sum(size) AS size, first(room) AS room FROM h JOIN b ON h.place = b.place AND h.block = b.block AND b.ends GROUP BY h.place, doc_id, unit),
+l2 AS (SELECT *, sum(size) OVER (PARTITION BY place ORDER BY unit, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM l1),
+l3 AS (SELECT *, sum(CASE WHEN upto <= room THEN 0 ELSE 1 END) OVER (PARTITION BY place ORDER BY unit, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after FROM l2),
+f(place, after, remaining, unit) AS (
+  SELECT place, 0, room - max(CASE WHEN upto <= room THEN upto ELSE 0 END), '' FROM l3 GROUP BY place, room
+  UNION ALL
+  SELECT f.place, f.after + 1, CASE WHEN l3.size <= f.remaining THEN f.remaining - l3.size ELSE f.remaining END, CASE WHEN l3.size <= f.remaining THEN l3.unit ELSE '' END
+  FROM f JOIN l3 ON l3.place = f.place AND l3.after = f.after + 1 AND l3.upto > l3.room
+  WHERE f.after < {FILL}
+),
+k AS (SELECT DISTINCT place, unit FROM (SELECT place, unit FROM l3 WHERE upto <= room UNION ALL SELECT place, unit FROM f WHERE unit <> '')),
+x AS (
+  SELECT h.*, passes + CASE WHEN b.whole OR (b.ends AND k.unit IS NOT NULL) THEN 1 ELSE 0 END AS draws
+  FROM h JOIN b ON h.place = b.place AND h.block = b.block LEFT JOIN k ON h.place = k.place AND h.unit = k.unit
+)
+SELECT doc_id, size, source_size, target, CAST(size * draws AS BIGINT) AS taken, CAST(draws AS INT) AS draws FROM x"""
