@@ -38,10 +38,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates, once; documents without doc_id stay as they are."""
-    groups = simhash_dedup.near_duplicate_groups(docs.select("doc_id", "text"))
-    keep = groups.where("doc_id = component_id").select("doc_id")
-    named = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the least doc_id of each group of near-duplicates, once; documents without doc_id stay as they are.
+
+    Near-duplicates share 0.8 or more of their five-word shingles.
+    """
+    named = docs.where("doc_id is not null")
+    groups = simhash_dedup.similar_groups(named.select("doc_id", "text"))
+    keep = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+    named = named.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
 
 

@@ -7,6 +7,12 @@ so two tiles whose counts differ by more than the radius in sum cannot hold a
 link and the pair is skipped; all other tile pairs are compared in full with
 numpy exclusive-or and bit counts.  A large cell is dealt over several tiles,
 so no task holds more than two tiles at once.
+
+`similar_groups` is for corpora: texts that share at least four fifths of their
+five-word shingles.  Such texts differ in about ten bits, and in up to eighteen;
+with that radius no pair of tiles could be skipped and one random pair in a
+thousand would pass.  So besides the tiles, bands of MinHash values propose
+pairs, and every pair is judged by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm._graph import components
@@ -26,6 +32,9 @@ from weirflow.llm._shared import materialize, table
 SEED = 42
 TILE = 2048
 QUARTER = 16
+#: Of similar_groups: words in a shingle and least Jaccard similarity; bands, values in a band, and members of which all pairs are judged.
+SHINGLE, SIMILAR = 5, 0.8
+BANDS, ROWS, FEW = 24, 6, 8
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -161,6 +170,105 @@ def near_duplicate_groups(docs: DataFrame, size: int = 3, radius: int = 2) -> Da
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def band_keys(hashes: np.ndarray, step: int = 1 << 12) -> np.ndarray:
+    """A 64-bit key for each band of least permuted hashes.  No hashes have keys too."""
+    rng = np.random.default_rng(SEED)
+    flip, odd = rng.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), step):
+        part = (hashes[at : at + step, None] ^ flip) * (odd << np.uint64(1) | np.uint64(1))
+        np.minimum(least, part.min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(digest, fp, keys) of rows (digest, text): SimHash and band keys of the text's five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            for k, t in enumerate(batch.column("text")):
+                hashes = shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), SHINGLE)
+                bits = bit_totals(hashes) * 2 > len(hashes)
+                fps[k] = int.from_bytes(np.packbits(bits).tobytes(), "big")
+                keys[k] = band_keys(hashes)
+            flat = pa.array(keys.view(np.int64).ravel())
+            held = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(fps.view(np.int64)), held], ["digest", "fp", "keys"])
+
+    return docs.select("digest", "text").mapInArrow(run, "digest string, fp long, keys array<long>")
+
+
+def shingle_set(text: str | None) -> set:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) > SHINGLE else {tuple(words)}
+
+
+def similar(pairs: DataFrame) -> DataFrame:
+    """(a, b) of those rows (a, b, text_a, text_b) whose shingles have a Jaccard similarity of SIMILAR or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, held, near = None, set(), []
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
+                if a != last:
+                    last, held = a, shingle_set(x.as_py())
+                other = shingle_set(y.as_py())
+                both = len(held & other)
+                near.append(both >= SIMILAR * (len(held) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """(a, b), a < b, of rows (id, fp, keys): pairs that may be similar.
+
+    Texts with the same key in some band: all pairs of up to FEW, else each with the least id and
+    with one that differs by band, so a large group of copies makes two pairs a member.  And the
+    links of the tiles.
+    """
+    each = reps.select("id", F.explode("keys").alias("key"))
+    groups = each.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.min_by("id", F.xxhash64("id", "key")).alias("y")
+    )
+    members = materialize(each.join(groups.where("n > 1"), "key"), "bands")
+    few = members.where(f"n <= {FEW}").select("key", "id")
+    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    many = members.where(f"n > {FEW}").select("id", F.explode(F.array("x", "y")).alias("to"))
+    firsts = materialize(reps.groupBy("fp").agg(F.min("id").alias("first")), "reps")
+    tiles = near_links(firsts.select(F.col("first").alias("id"), "fp"))
+    copies = reps.join(firsts, "fp").select(F.col("id"), F.col("first").alias("to"))
+    links = many.unionAll(copies).unionAll(tiles.toDF("id", "to")).where("id <> to")
+    return pairs.unionAll(links.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))).distinct()
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(digest, doc_id, component): a row for each distinct text of rows (doc_id, text).
+
+    digest is the text's MD5, doc_id its least, null after all others, and component the same for
+    texts that similar pairs connect.  Texts without words are similar.
+    """
+    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), text_digest(F.col("text")).alias("digest"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    ids = materialize(
+        docs.groupBy("digest").agg(least["doc_id"].alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "texts"
+    )
+    made = materialize(sketches(docs), "sketches").groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    reps = materialize(made.join(ids, "digest").select("id", "fp", "keys"), "sketches")
+    pairs = materialize(candidates(reps), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id").select("id", "digest")
+    texts = docs.select("digest", "text").join(asked, "digest").groupBy("id").agg(F.first("text").alias("text"))
+    texts = materialize(texts, "candidates")
+    work = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    found = components(materialize(similar(work), "links"))
+    return ids.join(found, ids["id"] == found["node"], "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component"))
+
+
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
