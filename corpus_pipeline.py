@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by source; one that is drawn twice is there twice."""
     words = docs.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     n_shards = min(SHARDS[1], max(SHARDS[0], words // SHARD_WORDS))
-    return source_mix.mixed_documents(docs.select(*COLUMNS), n_shards)
+    return source_mix.mixed_documents(docs.select(*COLUMNS), n_shards, fill_all=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

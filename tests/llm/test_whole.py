@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from weirflow.llm import source_mix
 
 # -- near-duplicates of the pipeline --------------------------------------------
 
@@ -34,3 +35,22 @@ def test_one_large_group_of_near_copies(spark):
     rows = [(i, " ".join(changed(words, 2, rng)), "en", "s", 0) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [0]
+
+
+# -- the mix --------------------------------------------------------------------
+
+
+def test_a_very_long_document_leaves_no_gap(spark, monkeypatch):
+    """Where the target ends in a very long document, the words left over are filled from the blocks after it."""
+    monkeypatch.setattr(source_mix, "BLOCK_DOCS", 100)
+    monkeypatch.setattr(source_mix, "TRIED", 150)
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(5, 40), "s", "en", 0) for i in range(3000)]
+    rows += [(3000 + i, "w " * 20000, "s", "en", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    for seed in range(4):
+        got = source_mix.mix(docs, 16, seed, fill_all=True).draws.collect()
+        left_out = [r["size"] for r in got if len(r["shards"]) == 1]
+        short = got[0]["target"] - sum(r["size"] * len(r["shards"]) for r in got)
+        assert 0 <= short < 5 <= min(left_out), (seed, short)
+        assert all(0 <= s < 16 for r in got for s in r["shards"])

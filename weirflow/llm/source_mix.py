@@ -28,6 +28,8 @@ BLOCK_WORDS, BLOCK_DOCS, MAX_BLOCKS = 1 << 19, 2048, 1 << 16
 N_SHARDS, SEED = 16, 7
 #: Documents after the end of the target that may still fill what is left of it.
 FILL = 256
+#: With fill_all, about so many documents that would fit are tried in one round.
+TRIED = 4096
 
 
 @dataclass(frozen=True)
@@ -105,9 +107,51 @@ def _unit(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
-def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> Mix:
+def filled_by_all(held: DataFrame, blocks: DataFrame, some: DataFrame) -> DataFrame:
+    """`some` with what fills the rest of each target, first fit over all that is left of the block it ends in and of those after it.
+
+    A round tries the documents no larger than what is left, of as many blocks in order as hold
+    TRIED of them, so no array is longer than that and a block.  What was tried and left out
+    never fits again.  At the end no document after the target's end fits.
+    """
+    end = blocks.where("ends").select("place", F.col("rank").alias("end"), "room")
+    docs = held.join(blocks.select("place", "block", "rank"), ["place", "block"]).join(end, "place").where("rank >= end and size > 0")
+    docs = docs.groupBy("place", "rank", "unit", "doc_id").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
+    taken = docs.join(some, ["place", "unit"])
+    rooms = end.join(taken.groupBy("place").agg(F.sum("size").alias("in")), "place", "left")
+    rooms = materialize(rooms.select("place", (F.col("room") - F.coalesce("in", F.lit(0))).alias("left"), (F.col("end") - 1).alias("done")), "rooms")
+    docs = materialize(docs.drop("room").join(some.select("place", "unit"), ["place", "unit"], "left_anti"), "left-out")
+    out = some
+    while True:
+        fit = docs.join(rooms, "place").where("rank > done and size <= left")
+        upto = F.sum("n").over(Window.partitionBy("place").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+        each = fit.groupBy("place", "rank").agg(F.count(F.lit(1)).alias("n"))
+        each = each.withColumn("before", F.coalesce(upto, F.lit(0))).where(f"before < {TRIED}").select("place", "rank")
+        state = F.struct(F.col("left").alias("left"), F.array().cast("array<string>").alias("units"))
+        tried = fit.join(each, ["place", "rank"]).groupBy("place").agg(
+            F.sort_array(F.collect_list(F.struct("rank", "unit", "doc_id", "size"))).alias("xs"), F.first("left").alias("left"), F.max("rank").alias("done")
+        )
+        tried = materialize(tried.select("place", "done", F.aggregate("xs", state, first_fit).alias("got")), "filled")
+        if tried.isEmpty():
+            return out
+        units = tried.select("place", F.explode("got.units").alias("unit"), F.lit(True).alias("part"))
+        out = out.unionAll(units)
+        rooms = tried.select("place", F.col("got.left").alias("left"), "done")
+
+
+def first_fit(acc: Column, x: Column) -> Column:
+    return F.when(
+        x["size"] <= acc["left"],
+        F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["units"], F.array(x["unit"])).alias("units")),
+    ).otherwise(acc)
+
+
+def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, fill_all: bool = False) -> Mix:
     """Draw the mix from rows (doc_id, text, source).
 
+    With fill_all, what is left of a target after the block it ends in is filled from all blocks
+    after it; else as OP4_SQL has it, from the next FILL documents of that block.
+
     A null text has size 0; null sources are one source.  Rows with the same
     doc_id and source are taken or left together.  The same rows give the same
     mix whatever their order.  An empty table gives an empty mix.
@@ -163,6 +207,9 @@ def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> Mix:
         last.where("fits").select("place", "unit").unionAll(filled).distinct().withColumn("part", F.lit(True)), "ends"
     )
 
+    if fill_all:
+        some = materialize(filled_by_all(held, blocks, some).distinct(), "fills")
+
     # Quotas: all blocks of each whole pass, then the permuted prefix and the block in which it ends.
     quota = blocks.groupBy("place").agg(F.count_if(F.col("whole") | F.col("ends")).alias("prefix"))
     counts = blocks.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
@@ -182,19 +229,21 @@ def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> Mix:
     shard_of = lambda draw: F.size(F.filter("upto", lambda e: e <= draw))
     full = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda p: p < F.col("passes")), lambda p: shard_of(p * F.col("n") + F.col("rank")))
     drawn = F.col("whole") | (F.col("ends") & F.coalesce("part", F.lit(False)))
-    extra = F.when(drawn, F.array(shard_of(F.col("passes") * F.col("n") + F.col("rank")))).otherwise(F.array().cast("array<int>"))
+    extra = F.when(drawn, F.array(shard_of(F.col("passes") * F.col("n") + F.col("rank")))).when(
+        F.col("part"), F.array(F.pmod(F.xxhash64("unit"), F.lit(n_shards)).cast("int"))  # of a block after the end, which no shard owns
+    ).otherwise(F.array().cast("array<int>"))
     return Mix(
         held.select("doc_id", "source", "unit", "size", "source_size", "target", F.concat(full, extra).alias("shards")),
         n_shards,
     )
 
 
-def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, fill_all: bool = False) -> DataFrame:
     """The mix as rows of docs, dealt to n_shards partitions and shuffled inside each.
 
     A document drawn twice gives two rows.
     """
-    drawn = mix(docs, n_shards, seed).draws.select("doc_id", "source", "unit", "shards").distinct()
+    drawn = mix(docs, n_shards, seed, fill_all).draws.select("doc_id", "source", "unit", "shards").distinct()
     cols = docs.columns
     d, m = docs.alias("d"), drawn.alias("m")
     rows = d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")))
