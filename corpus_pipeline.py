@@ -38,15 +38,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates, once; documents without doc_id stay as they are.
+    """One row of each group of near-duplicates: that with the least doc_id, null after all others.
 
-    Near-duplicates share 0.8 or more of their five-word shingles.
+    Near-duplicates share 0.8 or more of their five-word shingles.  Each row is judged by its own
+    text, also where a doc_id is null or repeats.
     """
-    named = docs.where("doc_id is not null")
-    groups = simhash_dedup.similar_groups(named.select("doc_id", "text"))
-    keep = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
-    named = named.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
+    groups = simhash_dedup.similar_groups(docs.select("doc_id", "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("k")
+    keep = groups.groupBy("component").agg(least).select(F.col("k.digest").alias("_digest"), F.col("k.doc_id").alias("_id"))
+    rows = docs.select(*COLUMNS, simhash_dedup.text_digest(F.col("text")).alias("_digest")).join(keep, "_digest")
+    return rows.where(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_digest"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,17 @@ def test_one_large_group_of_near_copies(spark):
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [0]
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and repeated doc_ids: unrelated texts stay, copies go."""
+    texts = [" ".join(f"{k}-{i}" for i in range(60)) for k in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[2] + " more"), (2, texts[3]), (None, texts[3]), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    third = [t for i, t in got if i is None]
+    assert len(third) == 1 and third[0] in (texts[2], texts[2] + " more")
+    assert sorted((x for x in got if x[0] is not None), key=str) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[3]), (3, None)], key=str)
+
+
 # -- the mix --------------------------------------------------------------------
 
 

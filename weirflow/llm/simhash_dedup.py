@@ -261,7 +261,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select("digest", "text").join(asked, "digest").groupBy("id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "candidates")
     work = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    found = components(materialize(similar(work), "links"))
+    found = components(similar(work))
     return ids.join(found, ids["id"] == found["node"], "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component"))
 
 
