@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from weirflow.llm import source_mix
+from weirflow.llm import flac_media, source_mix
 
 # -- near-duplicates of the pipeline --------------------------------------------
 
@@ -65,3 +67,20 @@ def test_a_very_long_document_leaves_no_gap(spark, monkeypatch):
         short = got[0]["target"] - sum(r["size"] * len(r["shards"]) for r in got)
         assert 0 <= short < 5 <= min(left_out), (seed, short)
         assert all(0 <= s < 16 for r in got for s in r["shards"])
+
+
+# -- media ----------------------------------------------------------------------
+
+
+def test_blocks_of_16_bit_samples(spark):
+    """A raw frame of 16 bits a sample comes out at that width."""
+    x = np.arange(576) * 100 - 30000
+    head = bytearray(flac_media.frame_header(0)[:-1])
+    head[3] = 0x08
+    frame = bytes(head) + bytes([int(flac_media.crc(np.frombuffer(bytes(head), np.uint8)[:, None], flac_media.CRC8)[0])]) + b"\x02" + x.astype(">i2").tobytes()
+    frame += int(flac_media.crc(np.frombuffer(frame, np.uint8)[:, None], flac_media.CRC16)[0]).to_bytes(2, "big")
+    media = bytearray(flac_media.stream([frame], 576, bytes(16)))
+    packed = int.from_bytes(media[18:26], "big")
+    media[18:26] = (packed & ~(31 << 36) | 15 << 36).to_bytes(8, "big")
+    rows = flac_media.pcm_blocks(spark.createDataFrame([(1, bytes(media))], "doc_id long, media binary")).collect()
+    assert [(r["doc_id"], r["sample_offset"], r["n_samples"], bytes(r["pcm"])) for r in rows] == [(1, 0, 576, x.astype("<i2").tobytes())]

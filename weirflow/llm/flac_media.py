@@ -443,16 +443,24 @@ def store(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def pcm_bytes(x: np.ndarray, bits: int) -> bytes:
+    """Signed samples as little-endian bytes, as many a sample as `bits` need."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : (bits + 7) // 8].tobytes()
+
+
 def pcm_blocks(media: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
-    """(doc_id, sample_offset, n_samples, pcm): the blocks of rows (doc_id, media) that hold samples from `first` to before `last`."""
+    """(doc_id, sample_offset, n_samples, pcm): the blocks of rows (doc_id, media) that hold samples from `first` to before `last`.
+
+    pcm is of the stream's own sample width, little-endian.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in _held(batch, "media", lambda v: len(v.as_buffer() or b"") if v.is_valid else 0):
                 held = [(i, m.as_py()) for i, m in zip(batch.column("doc_id")[a:b], batch.column("media")[a:b], strict=True) if m.is_valid]
                 rows = [
-                    (i.as_py(), at, len(x), x.astype(np.int8).tobytes())
-                    for (i, _), blocks in zip(held, decode_blocks([m for _, m in held], first, last), strict=True)
+                    (i.as_py(), at, len(x), pcm_bytes(x, metadata(m)[0]["bits"]))
+                    for (i, m), blocks in zip(held, decode_blocks([m for _, m in held], first, last), strict=True)
                     for at, x in blocks
                 ]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
