@@ -5,7 +5,16 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from weirflow.llm import flac_media, source_mix
+from weirflow.llm import flac_media, line_dedup, source_mix
+
+# -- lines ----------------------------------------------------------------------
+
+
+def test_unique_lines_of_rows_without_doc_id_stay(spark):
+    texts = [(None, "a\nb"), (None, "c\nd"), (1, "e\nf"), (1, "g\nh"), (0, "e\nf")]
+    got = line_dedup.without_repeated_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in got) == ["", "a\nb", "c\nd", "e\nf", "g\nh"]
+
 
 # -- near-duplicates of the pipeline --------------------------------------------
 

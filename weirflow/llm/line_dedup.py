@@ -77,12 +77,12 @@ def line_chunks(text: Column) -> Column:
 
 
 def removable(docs: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(doc_id, gone): for each document with repeats the places of the chunks to remove.
+    """(doc_id, gone): for each document with repeats the chunks to remove, as structs (place, h) with the hash of their bytes.
 
     Rows need doc_id and text.  A chunk that occurs again in the same document
-    is a repeat like any other.  Rows with the same doc_id are one document:
-    what is said of a place holds for each of them.  Null doc_ids count as
-    before all others.
+    is a repeat like any other.  Rows with the same doc_id are told apart by
+    the hash: only those that hold the repeat at its place lose it.  Null
+    doc_ids count as before all others.
     """
     each = docs.select("doc_id", F.explode(line_chunks(F.col("text"))).alias("c")).where(F.col("c.n_lines") >= min_lines)
     each = each.select("doc_id", F.col("c.place").alias("place"), F.col("c.content").alias("content"), F.xxhash64("c.content").alias("h"))
@@ -96,14 +96,14 @@ def removable(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     )
     narrow = each.select("doc_id", "place", "h")
     plain = narrow.join(groups.where("texts = 1").select("h", "first"), "h").where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    rows = plain.select("doc_id", "place")
+    rows = plain.select("doc_id", "place", "h")
     shared = groups.where("texts > 1").select("h")
     if not shared.isEmpty():  # hashes that more than one text has: found again by the bytes themselves
         exact = each.join(shared, "h")
         firsts = exact.groupBy("content").agg(first.alias("first"))
         exact = exact.join(firsts, "content").where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-        rows = rows.unionAll(exact.select("doc_id", "place"))
-    return rows.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
+        rows = rows.unionAll(exact.select("doc_id", "place", "h"))
+    return rows.groupBy("doc_id").agg(F.collect_set(F.struct("place", "h")).alias("gone"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -115,10 +115,11 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     added = ("n_lines", "n_chunks", "n_removed", "n_removed_lines")
     docs = docs.drop(*added)
     gone = materialize(removable(docs.select("doc_id", "text")), "gone").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
+    # gone grows with the input, so it is never broadcast: small inputs take the path of large ones.
+    rows = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
 
     def judged(c: Column) -> Column:
-        stay = F.filter(c, lambda x: ~F.array_contains("gone", x["place"]))
+        stay = F.filter(c, lambda x: ~F.array_contains("gone", F.struct(x["place"].alias("place"), F.xxhash64(x["content"]).alias("h"))))
         lines = lambda of: F.aggregate(of, F.lit(0), lambda a, x: a + x["n_lines"])
         return let(
             stay,
@@ -131,7 +132,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    rows = rows.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    rows = rows.withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<place:int,h:bigint>>")))
     rows = rows.withColumn("_j", let(line_chunks(F.col("text")), judged))
     text = F.when(F.col("text").isNotNull(), F.col("_j.text"))
     return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_j.{c}") for c in added])
