@@ -23,8 +23,10 @@ from weirflow.llm._shared import table
 
 UNDETERMINED = "und"
 PIECE = 4096
-#: Texts of fewer bytes are encoded with more effort, as a few bytes decide.
-SHORT = 600
+#: One level for texts of any length, so that no length changes how a text is judged.
+LEVEL = 7
+#: Bounds of the sample that is learned from: languages, texts of a language and in all, bytes of a dictionary and of all.
+LANGUAGES, TEXTS, ALL_TEXTS, BYTES, ALL_BYTES = 1024, 192, 65536, 128 << 10, 64 << 20
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -39,28 +41,22 @@ class Model:
     """Dictionaries by language, in the order in which ties are settled."""
 
     dictionaries: dict[str, bytes]
-    level: int = 3
-    short_level: int = 19
-    _coders: dict = field(default_factory=dict, repr=False)
+    level: int = LEVEL
+    _coders: list = field(default_factory=list, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_coders": {}}
-
-    def _at(self, level: int) -> list[zstandard.ZstdCompressor]:
-        if level not in self._coders:
-            self._coders[level] = []
-            for d in self.dictionaries.values():
-                held = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                held.precompute_compress(level=level)
-                self._coders[level].append(zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_dict_id=False))
-        return self._coders[level]
+        return self.__dict__ | {"_coders": []}
 
     def sizes(self, text: str) -> list[int]:
         """Encoded bytes with each dictionary."""
+        if not self._coders:
+            for d in self.dictionaries.values():
+                held = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                held.precompute_compress(level=self.level)
+                self._coders.append(zstandard.ZstdCompressor(level=self.level, dict_data=held, write_content_size=False, write_dict_id=False))
         data = letters_only(text)
-        coders = self._at(self.short_level if len(data) < SHORT else self.level)
         pieces = [data[at : at + PIECE] for at in range(0, len(data), PIECE)] or [b""]
-        return [sum(len(c.compress(p)) for p in pieces) for c in coders]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self._coders]
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """Language and margin: how much smaller the best encoding is than the next, from 0 to 1."""
@@ -74,31 +70,40 @@ class Model:
         return names[ranked[0]], (second - best) / second
 
 
-def fit(labelled: DataFrame, docs_per_language: int = 192, dictionary_bytes: int = 128 * 1024) -> Model:
-    """Dictionaries from rows (doc_id, text, lang).
+def fit(labelled: DataFrame, languages: int = LANGUAGES, texts: int = TEXTS, dictionary_bytes: int = BYTES) -> Model:
+    """Dictionaries from rows (text, lang); nothing else of a row is looked at.
 
-    The sample is bounded: at most docs_per_language texts of a language, those
-    with the least hashes, and of them dictionary_bytes in all.  Rows with a
-    null or blank text or a null language are left out.  Ties between languages
-    go to the one with more documents.
+    The sample is bounded: the `languages` most frequent languages; of each at most `texts` different texts,
+    those with the least hashes, and fewer where ALL_TEXTS or ALL_BYTES would be passed; and of them
+    dictionary_bytes a language.  So what is collected and sent to the tasks does not grow with the corpus.
+    Rows with a null or empty text or a null language are left out, and texts that repeat count once.  Ties
+    between languages go to the one with more documents.  An empty table gives a model that knows no language.
     """
-    rows = labelled.where("lang is not null and text is not null and length(text) > 0")
-    order = F.xxhash64(F.col("doc_id"), F.lit("language sample"))
+    rows = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", "text")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    if not counts:
+        return Model({})
+    texts = max(1, min(texts, ALL_TEXTS // len(counts)))
+    dictionary_bytes = min(dictionary_bytes, ALL_BYTES // len(counts))
+    rows = rows.where(F.col("lang").isin(list(counts))) if len(counts) == languages else rows
+    rows = rows.withColumn("h", F.xxhash64("text"))
     # The rank filter is applied before the shuffle too, so that a language with most of the rows moves only its sample.
-    by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = rows.select("lang", "doc_id", order.alias("h")).withColumn("n", F.row_number().over(by)).where(f"n <= {docs_per_language}")
-    picked = rows.join(F.broadcast(ids.select("doc_id", "lang", "h")), ["doc_id", "lang"])
-    share = F.substring("text", 1, dictionary_bytes)
+    # Copies of a text have one hash; room for some of them is left, and they are folded before the final rank.
+    by = Window.partitionBy("lang").orderBy("h")
+    some = rows.select("lang", "h").withColumn("n", F.row_number().over(by)).where(f"n <= {8 * texts}").select("lang", "h").distinct()
+    ids = some.withColumn("n", F.row_number().over(by)).where(f"n <= {texts}").select("lang", "h")
+    # A text may give at most an eighth, so that one long text can't be the whole dictionary.
+    share = dictionary_bytes // 8
+    picked = rows.join(F.broadcast(ids), ["lang", "h"])  # at most ALL_TEXTS rows
+    picked = picked.groupBy("lang", "h").agg(F.min(F.substring("text", 1, share)).alias("text"))
     found: dict[str, list] = {}
-    for r in picked.select("lang", "h", "doc_id", share.alias("text")).toLocalIterator():
-        found.setdefault(r["lang"], []).append((r["h"], r["doc_id"], r["text"]))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    for r in picked.toLocalIterator():
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
     out = {}
     for lang in sorted(found, key=lambda x: (-counts[x], x)):
         parts, room = [], dictionary_bytes
-        # A text may give at most an eighth, so that one long text can't be the whole dictionary.
-        for _, _, text in sorted(found[lang], key=lambda x: x[:2]):
-            part = letters_only(text)[: min(room, dictionary_bytes // 8)]
+        for _, text in sorted(found[lang]):
+            part = letters_only(text)[: min(room, share)]
             parts.append(part)
             room -= len(part)
             if room <= 0:
@@ -108,15 +113,15 @@ def fit(labelled: DataFrame, docs_per_language: int = 192, dictionary_bytes: int
 
 
 def identify(docs: DataFrame, model: Model, min_margin: float = 0.005) -> DataFrame:
-    """docs with lang_pred, score and rejected added.
+    """docs with lang_pred, score and rejected added; columns of docs with these names are replaced.
 
-    A null text or one without letters is `und` with score 0 and is rejected;
+    Every row stays, repeated ones too, and an empty table gives no rows.  A null text or one without letters is `und` with score 0 and is rejected;
     else a document is rejected if its score, the margin between the best two
     sizes, is below min_margin.
     """
     rows = docs.drop("lang_pred", "score", "rejected")
     names = rows.columns
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages x dictionary_bytes
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most ALL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
@@ -138,7 +143,8 @@ def held_out() -> Column:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: whether it was held out, the language found, and the margin between the best two sizes."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    model = fit(docs.where(~held_out()).select("text", "lang"))
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -55,7 +55,7 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
 def pieces(docs: DataFrame, length: Column, max_length: int = MAX_LENGTH) -> DataFrame:
     """(doc_id, piece, start, length): each row cut into sequences of max_length tokens and a rest.
 
-    A row without tokens gives one piece of length 0.
+    A row without tokens, its text null or empty, gives one piece of length 0.  Other columns are left out.
     """
     held = docs.select("doc_id", F.coalesce(length, F.lit(0)).cast("long").alias("n"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / max_length) - 1).cast("int")
@@ -69,9 +69,10 @@ def pack(rows: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
 
     A batch holds as many pieces as its budget has room for at the bucket's
     length, one at least.  An empty table gives no rows.  Repeated rows are
-    pieces of their own.
+    pieces of their own; they, and rows with a null doc_id, are dealt by their
+    place in the table, so that one doc_id may have any number of rows.
     """
-    rows = materialize(rows, "pieces")
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most max_length + 1
     bounds = optimal_boundaries(counts, buckets)
     if not bounds:
@@ -84,13 +85,13 @@ def pack(rows: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
         bucket = F.when(F.col("length") <= bounds[i], F.lit(i)).otherwise(bucket)
     pick = lambda xs: F.element_at(F.array(*[F.lit(int(x)) for x in xs]), F.col("bucket") + 1)
     rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("bucket_length", pick(bounds))
-    rows = rows.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), pick([-(-n // SHARE) or 1 for n in sizes])).cast("int"))
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "_row"), pick([-(-n // SHARE) or 1 for n in sizes])).cast("int"))
     held = rows.groupBy("bucket", "share").agg(F.count(F.lit(1)).alias("n"))
     # A row for SHARE pieces: counts only.
     before = held.withColumn(
         "before", F.sum("n").over(Window.partitionBy("bucket").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
     ).select("bucket", "share", F.coalesce("before", F.lit(0)).alias("before"))
-    order = Window.partitionBy("bucket", "share").orderBy(F.xxhash64("doc_id", "piece", F.lit("slot")), "doc_id", "piece")
+    order = Window.partitionBy("bucket", "share").orderBy(F.xxhash64("doc_id", "piece", "_row", F.lit("slot")), "doc_id", "piece", "_row")
     rows = rows.withColumn("within", F.row_number().over(order) - 1).join(before, ["bucket", "share"])
     room = pick([max(1, token_budget // max(1, b)) for b in bounds])
     rank = F.col("before") + F.col("within")

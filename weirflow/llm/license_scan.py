@@ -10,8 +10,10 @@ edits, whose one seed is the whole phrase.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -102,12 +104,14 @@ class Scanner:
                 else:
                     held.append([lo, hi])
         out = []
+        # Where each word starts in the line, so that a place is found without counting from the start.
+        starts = list(accumulate((len(w) + 1 for w in words), initial=1)) if windows else []
         for k, held in windows.items():
             notice = self.notices[k]
             for lo, hi in held:
                 for m in self.patterns[k].finditer(line, max(0, lo - 1), min(len(line), hi + 1)):
                     a, b = m.span()
-                    first = line.count(" ", 0, a) - 1 if line[a] != " " else line.count(" ", 0, a)
+                    first = bisect_right(starts, a + (line[a] == " ")) - 1
                     out.append(Hit(notice, first, first + m.group().strip().count(" "), sum(m.fuzzy_counts), a, b))
         return words, out
 
@@ -117,7 +121,9 @@ def scan(docs: DataFrame, base: tuple[Notice, ...] = BASE, own: tuple[Notice, ..
 
     A hit has label, base, edits, first_word, last_word (from 0), and matched.
     Hits of one notice don't overlap, but for base phrases, of which every
-    place counts.  Every row of docs gives a row.
+    place counts.  Every row of docs gives a row, repeated ones and those with a
+    null doc_id too; an empty table gives none, and other columns are left out.
+    Of equally close matches the regex library's first is taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +151,10 @@ def scan(docs: DataFrame, base: tuple[Notice, ...] = BASE, own: tuple[Notice, ..
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: words, places of base phrases with the first and last start, labels, and the closest match from 0 to 1.
+
+    A null or empty text has no words, no labels and score 0.
+    """
     found = scan(table(spark, sf_dir, "documents"))
     base = F.filter("hits", lambda h: h["base"])
     labels = lambda hits: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))))

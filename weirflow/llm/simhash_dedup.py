@@ -35,6 +35,8 @@ QUARTER = 16
 #: Of similar_groups: words in a shingle and least Jaccard similarity; bands, values in a band, and members of which all pairs are judged.
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS, FEW = 24, 6, 8
+#: Least number of equal signature bytes, of BANDS x ROWS, for a pair of a large group to be judged.
+LEAST = 90
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -151,52 +153,69 @@ def near_links(reps: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     return work.mapInArrow(run, "a long, b long")
 
 
+def same_document(fps: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): links between the representatives of fingerprints that rows of one doc_id have."""
+    many = fps.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
+    held = fps.select("doc_id", "fp").distinct().join(many, "doc_id").join(reps, "fp").select("doc_id", "id")
+    least = held.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return held.join(least, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
+
+
 def near_duplicate_groups(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id reachable over fingerprints that differ in at most `radius` bits.
 
-    Every row of docs gives a row.  Texts without words share fingerprint 0 and
-    so link with each other.  An empty table gives no rows.  Rows whose doc_id
-    is null get a component only through rows with a doc_id, else null.
+    Every row of docs gives a row.  A doc_id that repeats with different texts
+    is one document with several fingerprints, which it links.  Texts without
+    words share fingerprint 0 and so link with each other.  An empty table gives
+    no rows.  Rows whose doc_id is null get a component only through rows with a
+    doc_id, else null.  Other columns of docs are left out.
     """
     fps = materialize(fingerprints(docs, size), "fingerprints")
-    reps = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "reps")
-    # A doc_id that repeats with different texts stands for several fingerprints; they are one node.
-    found = components(
-        near_links(reps, radius)
-    )
+    named = fps.where("doc_id is not null")
+    reps = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("id")), "reps")
+    found = components(near_links(reps, radius).unionAll(same_document(named, reps)))
     classes = reps.join(found, reps["id"] == found["node"], "left").select(
         reps["fp"], F.coalesce("component", "id").alias("component_id")
     )
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def band_keys(hashes: np.ndarray, step: int = 1 << 12) -> np.ndarray:
-    """A 64-bit key for each band of least permuted hashes.  No hashes have keys too."""
+def least_hashes(hashes: np.ndarray, step: int = 1 << 12) -> np.ndarray:
+    """The least of each of BANDS x ROWS permuted hashes."""
     rng = np.random.default_rng(SEED)
     flip, odd = rng.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), step):
         part = (hashes[at : at + step, None] ^ flip) * (odd << np.uint64(1) | np.uint64(1))
         np.minimum(least, part.min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of least hashes.  No hashes have keys too."""
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(digest, fp, keys) of rows (digest, text): SimHash and band keys of the text's five-word shingles."""
+    """(digest, fp, keys, signature) of rows (digest, text): SimHash, band keys and a byte of each least hash of the five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, keys = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            signatures = []
             for k, t in enumerate(batch.column("text")):
                 hashes = shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), SHINGLE)
                 bits = bit_totals(hashes) * 2 > len(hashes)
                 fps[k] = int.from_bytes(np.packbits(bits).tobytes(), "big")
-                keys[k] = band_keys(hashes)
+                least = least_hashes(hashes)
+                keys[k] = band_keys(least)
+                signatures.append(least.astype(np.uint8).tobytes())
             flat = pa.array(keys.view(np.int64).ravel())
             held = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(fps.view(np.int64)), held], ["digest", "fp", "keys"])
+            cols = [batch.column("digest"), pa.array(fps.view(np.int64)), held, pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["digest", "fp", "keys", "signature"])
 
-    return docs.select("digest", "text").mapInArrow(run, "digest string, fp long, keys array<long>")
+    return docs.select("digest", "text").mapInArrow(run, "digest string, fp long, keys array<long>, signature binary")
 
 
 def shingle_set(text: str | None) -> set:
@@ -221,18 +240,22 @@ def similar(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b, of rows (id, fp, keys): pairs that may be similar.
-
-    Texts with the same key in some band: all pairs of up to FEW, else each with the least id and
-    with one that differs by band, so a large group of copies makes two pairs a member.  And the
-    links of the tiles.
-    """
+def band_members(reps: DataFrame) -> DataFrame:
+    """(key, id, n, x, y): the members of each band key that several texts have, their number, the least one, and one that differs by band."""
     each = reps.select("id", F.explode("keys").alias("key"))
     groups = each.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.min_by("id", F.xxhash64("id", "key")).alias("y")
     )
-    members = materialize(each.join(groups.where("n > 1"), "key"), "bands")
+    return each.join(groups.where("n > 1"), "key")
+
+
+def candidates(reps: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b), a < b, of rows (id, fp): pairs that may be similar.
+
+    Texts with the same key in some band: all pairs of up to FEW, else each with the least id and
+    with one that differs by band, so a large group of copies makes two pairs a member; `apart`
+    has the rest of such groups.  And the links of the tiles.
+    """
     few = members.where(f"n <= {FEW}").select("key", "id")
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
     many = members.where(f"n > {FEW}").select("id", F.explode(F.array("x", "y")).alias("to"))
@@ -243,25 +266,69 @@ def candidates(reps: DataFrame) -> DataFrame:
     return pairs.unionAll(links.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))).distinct()
 
 
+def apart(reps: DataFrame, members: DataFrame, found: DataFrame, tile: int = 512, block: int = 16) -> DataFrame:
+    """(a, b), a < b: members of one large band group that are not connected yet, and whose signatures say that they may be similar.
+
+    A group's members are dealt to tiles, and tiles are compared in pairs, so a task holds two.  Of
+    144 least hashes similar texts share 115 on average; one pair in ten million shares fewer than LEAST.
+    """
+    known = members.where(f"n > {FEW}").select("key", "id", "n").join(found.toDF("id", "component"), "id", "left")
+    known = known.withColumn("component", F.coalesce("component", "id"))
+    open_ = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / tile)).cast("int")
+    held = known.join(open_, "key").join(reps.select("id", "signature"), "id").withColumn("part", part)
+    tiles = materialize(held.groupBy("key", "part").agg(F.collect_list(F.struct("id", "component", "signature")).alias("m")), "tiles")
+    heads = tiles.select("key", "part")
+    work = heads.toDF("key", "part_a").join(heads, "key").where("part_a <= part")
+    work = work.join(tiles.toDF("key", "part_a", "ma"), ["key", "part_a"]).join(tiles, ["key", "part"])
+
+    def opened(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = x.values
+        signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        return rows.field("id").to_numpy(), rows.field("component").to_numpy(), signature
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ia, ca, sa), (ib, cb, sb) = opened(batch.column("ma")[k]), opened(batch.column("m")[k])
+                for at in range(0, len(ia), block):
+                    near = (sa[at : at + block, None, :] == sb[None, :, :]).sum(axis=2) >= LEAST
+                    x, y = np.nonzero(near & (ca[at : at + block, None] != cb[None, :]))
+                    a, b = ia[at + x], ib[y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return work.select("ma", "m").mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(digest, doc_id, component): a row for each distinct text of rows (doc_id, text).
 
     digest is the text's MD5, doc_id its least, null after all others, and component the same for
-    texts that similar pairs connect.  Texts without words are similar.
+    texts that similar pairs connect.  Texts without words are similar, null ones too.  Repeated rows
+    are one text; an empty table gives no rows; other columns of docs are left out.
     """
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), text_digest(F.col("text")).alias("digest"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
     ids = materialize(
         docs.groupBy("digest").agg(least["doc_id"].alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "texts"
     )
-    made = materialize(sketches(docs), "sketches").groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    reps = materialize(made.join(ids, "digest").select("id", "fp", "keys"), "sketches")
-    pairs = materialize(candidates(reps), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id").select("id", "digest")
-    texts = docs.select("digest", "text").join(asked, "digest").groupBy("id").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "candidates")
-    work = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    found = components(similar(work))
+    made = materialize(sketches(docs), "sketches").groupBy("digest").agg(
+        F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("signature").alias("signature")
+    )
+    reps = materialize(made.join(ids, "digest").select("id", "fp", "keys", "signature"), "sketches")
+    members = materialize(band_members(reps), "bands")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id").select("id", "digest")
+        texts = docs.select("digest", "text").join(asked, "digest").groupBy("id").agg(F.first("text").alias("text"))
+        texts = materialize(texts, "candidates")
+        return similar(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"))
+
+    links = materialize(judged(materialize(candidates(reps, members), "pairs")), "links")
+    found = materialize(components(links), "components")
+    more = materialize(apart(reps, members, found), "apart")
+    if not more.isEmpty():
+        found = components(links.unionAll(judged(more)))
     return ids.join(found, ids["id"] == found["node"], "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component"))
 
 
@@ -270,5 +337,6 @@ def text_digest(text: Column) -> Column:
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its SimHash of three-word shingles, and the least doc_id of its component."""
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

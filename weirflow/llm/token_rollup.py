@@ -18,15 +18,18 @@ from functools import cache
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm._shared import materialize, scratch_path, table
+from weirflow.llm._shared import materialize, rename_new, scratch_path, table
 
 TOKENIZERS = "/opt/tokenizers"
 #: What splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space that are cut out before the pattern sees them: it tries every length of a run, and gives up on a million.
+LONG_SPACE = regex.compile(r"\p{White_Space}{4096,}")
 VERSIONS = {"bpe-50k": "byte_bpe_50k.tiktoken", "bpe-multi-50k": "byte_bpe_multi_50k.tiktoken"}
 KEYS = ("source", "lang", "version")
 
@@ -52,15 +55,34 @@ def tokenizers(folder: str = TOKENIZERS, versions: dict[str, str] = VERSIONS) ->
     return out
 
 
+def count_tokens(encoding: tiktoken.Encoding, text: str) -> int:
+    """Tokens of a whole text, as PATTERN splits it.
+
+    PATTERN makes one piece of a run of white space, less its last character if something follows: that
+    one goes with the next word, or is a piece of its own.  Long runs are cut there and merged directly,
+    so any text can be counted.
+    """
+    total, at = 0, 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        total += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def token_counts(docs: DataFrame, counters: list[Tokenizer]) -> DataFrame:
-    """(doc_id, source, lang, tokens): tokens is a map from version to the count of the whole text; a null text has 0."""
+    """(doc_id, source, lang, tokens): tokens is a map from version to the count of the whole text.
+
+    Every row gives a row, repeated ones too; a null or empty text has 0 tokens, and an empty table no rows.
+    Other columns of docs are left out.
+    """
     held = docs.sparkSession.sparkContext.broadcast(counters)  # a vocabulary is about 1 MB whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column("text")]
-            counts = [[len(_encoding(c).encode_ordinary(t)) for t in texts] for c in own]
+            counts = [[count_tokens(_encoding(c), t) for t in texts] for c in own]
             maps = [[(c.version, n) for c, n in zip(own, row, strict=True)] for row in zip(*counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(maps, pa.map_(pa.string(), pa.int64()))], ["doc_id", "source", "lang", "tokens"]
@@ -90,7 +112,8 @@ class TokenRollup:
     """Totals by source, language and tokenizer version in a folder that driver and executors share.
 
     Keys may be null and are groups like others.  A group without documents
-    and tokens is not listed.
+    and tokens is not listed, so an empty rollup has no rows.  Signed rows that
+    repeat count each time; the order of rows and of batches does not matter.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -118,16 +141,17 @@ class TokenRollup:
         return held | {unquote(n) for n in self._names("deltas")}
 
     def commit(self, batch: str, signed: DataFrame) -> bool:
-        """Add a batch of signed rows; False if a batch of that name is committed, which then stays as it was."""
+        """Add a batch of signed rows; False if a batch of that name is committed, which then stays as it was.
+
+        Of two writers of one batch at a time, one gets True and only its rows count.
+        """
         if batch in self.batches():
             return False
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
         delta = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         delta.where("docs <> 0 or tokens <> 0").coalesce(1).write.parquet(staged)
-        # The rename is what commits: a writer that dies before it leaves only a staged folder.
-        if not self._fs.rename(self._Path(staged), self._Path(f"{self.path}/deltas/{quote(batch, safe='')}")):
-            raise OSError(f"batch {batch} could not be made visible")
-        return True
+        # The rename is what commits: a writer that dies before it leaves only a staged folder, and one that comes second gets False.
+        return rename_new(self.spark, staged, f"{self.path}/deltas/{quote(batch, safe='')}")
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) over all committed batches."""
@@ -149,7 +173,8 @@ class TokenRollup:
         self.spark.createDataFrame([(b,) for b in done], "batch string").coalesce(1).write.parquet(f"{staged}/batches")
         old = self._names("bases")
         number = int(old[-1]) + 1 if old else 0
-        self._fs.rename(self._Path(staged), self._Path(f"{self.path}/bases/{number:012d}"))
+        if not rename_new(self.spark, staged, f"{self.path}/bases/{number:012d}"):
+            return  # another writer folded at the same time; what it left is folded by the next call
         for name in old:
             self._fs.delete(self._Path(f"{self.path}/bases/{name}"), True)
         for name in self._names("deltas"):
@@ -158,9 +183,9 @@ class TokenRollup:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents are added as the first tokenizer counts them; documents that are
+    """(source, lang, version, docs, tokens) after four batches: all documents are added as the first tokenizer counts them; documents that are
     labelled toxic go; those in languages other than English are counted anew by the second tokenizer; and the
-    first batch comes again, to no effect."""
+    first batch comes again, to no effect.  Null sources and languages are groups of their own; a null doc_id is in no label."""
     one, two = VERSIONS
     counts = materialize(token_counts(table(spark, sf_dir, "documents"), tokenizers()), "token-counts")
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
