@@ -135,9 +135,20 @@ def test_splitting_tree():
         assert [sum(c) for c in zip(*out, strict=True)] == quotas and out == source_mix.split_quotas(quotas, shards, 9)
         totals = [sum(r) for r in out]
         assert max(totals) - min(totals) <= 4
-    rng = random.Random(1)
-    draws = [source_mix.hypergeometric(rng, 30, 70, 20) for _ in range(4000)]
-    assert abs(sum(draws) / 4000 - 6) < 0.15 and min(draws) >= 0 and max(draws) <= 20
+    draws = [source_mix.split_quotas([30, 70], 5, seed)[2][0] for seed in range(2000)]
+    assert abs(sum(draws) / 2000 - 6) < 0.2 and min(draws) >= 0 and max(draws) <= 20
+
+
+def test_a_document_is_taken_as_often_as_a_quota_covers_it(spark, docs, monkeypatch):
+    """Shards hold what the tree gave them, block by block; a quota that is lost loses its documents."""
+    monkeypatch.setattr(source_mix, "BLOCK_DOCS", 4)
+    got = source_mix.mix(docs, 4, 3).draws.collect()
+    want = {(r["doc_id"], r["source"]): len(r["shards"]) for r in got}
+    assert {s for r in got for s in r["shards"]} <= set(range(4))
+    real = source_mix.quota_tree
+    monkeypatch.setattr(source_mix, "quota_tree", lambda *a: [(p, n if k else n - n) for k, (p, n) in enumerate(real(*a))][1:])
+    less = {(r["doc_id"], r["source"]): len(r["shards"]) for r in source_mix.mix(docs, 4, 3).draws.collect()}
+    assert sum(less.values()) < sum(want.values())
 
 
 def test_mixed_rows_follow_the_draws(docs, spark, tables):

@@ -71,7 +71,7 @@ def test_a_very_long_document_leaves_no_gap(spark, monkeypatch):
     rows += [(3000 + i, "w " * 20000, "s", "en", 0) for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
     for seed in range(4):
-        got = source_mix.mix(docs, 16, seed, fill_all=True).draws.collect()
+        got = source_mix.mix(docs, 16, seed).draws.collect()
         left_out = [r["size"] for r in got if len(r["shards"]) == 1]
         short = got[0]["target"] - sum(r["size"] * len(r["shards"]) for r in got)
         assert 0 <= short < 5 <= min(left_out), (seed, short)

@@ -2,33 +2,33 @@
 
 Documents fall into blocks by a hash, and a source's blocks are permuted.  A
 source's target is met by whole passes over its blocks, a prefix of the
-permuted blocks, and documents of the one block that the target ends in.  The
-block draws of all sources are then split among output shards by a tree of
-multivariate-hypergeometric draws: a node divides its quotas between its two
-halves exactly as drawing that many blocks without replacement would.  Shards
-therefore own disjoint runs of each source's permuted blocks and shuffle
-locally.  Only quotas per source reach the driver, never blocks or documents.
+permuted blocks, and one last draw: documents, first fit, of the block that the
+target ends in and of those after it.  The block draws of all sources are then
+split among output shards by a tree of multivariate-hypergeometric draws: a
+node divides its quotas between its two halves exactly as drawing that many
+blocks without replacement would.  Shards therefore own disjoint runs of each
+source's permuted blocks and shuffle locally; a document is taken as often as
+a quota covers a draw of it.  Only quotas per source reach the driver, never
+blocks or documents.
 """
 
 from __future__ import annotations
 
-import json
-import random
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm._shared import materialize, table, word_count
 
 WEIGHTS = (5, 2, 1)
-#: Bounds of a block: about so many words or documents, and so many blocks a source.
-BLOCK_WORDS, BLOCK_DOCS, MAX_BLOCKS = 1 << 19, 2048, 1 << 16
+#: A source has a block for so many words and one for so many documents.
+BLOCK_WORDS, BLOCK_DOCS = 1 << 19, 2048
 #: Of the query: output shards, and what draws depend on besides the rows.
 N_SHARDS, SEED = 16, 7
-#: Documents after the end of the target that may still fill what is left of it.
-FILL = 256
-#: With fill_all, about so many documents that would fit are tried in one round.
+#: About so many documents that would fill what is left of a target are tried in one round.
 TRIED = 4096
 
 
@@ -40,37 +40,36 @@ class Mix:
     n_shards: int
 
 
-def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """Good items among `draws` taken without replacement."""
-    if draws > good + bad - draws:
-        return good - hypergeometric(rng, good, bad, good + bad - draws)
-    taken = 0
-    for _ in range(draws):
-        if rng.random() * (good + bad) < good:
-            taken, good = taken + 1, good - 1
-        else:
-            bad -= 1
-    return taken
+def quota_tree(quotas: np.ndarray, n_shards: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each shard the sources it draws blocks of, and how many; sources without any are left out.
 
+    A node hands half of its shards their share of all its blocks, drawn without replacement over its
+    sources.  Work and memory follow the quotas that are not 0, at most one a block.
+    """
 
-def split_quotas(quotas: list[int], n_shards: int, seed: int) -> list[list[int]]:
-    """For each shard the blocks it gets of each source; columns add up to quotas, shards differ by at most one block."""
-
-    def node(at: int, n: int, held: list[int]) -> list[list[int]]:
+    def node(at: int, n: int, places: np.ndarray, held: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         if n == 1:
-            return [held]
-        left, total = n // 2, sum(held)
-        rng = random.Random(f"{seed}:{at}:{n}")
-        draws = (total * left + rng.randrange(n)) // n
-        rest, got = total, []
-        for q in held:
-            rest -= q
-            k = hypergeometric(rng, q, rest, draws)
-            got.append(k)
-            draws -= k
-        return node(at, left, got) + node(at + left, n - left, [q - k for q, k in zip(held, got, strict=True)])
+            return [(places, held)]
+        left, total = n // 2, int(held.sum())
+        rng = np.random.default_rng([seed, at, n])
+        draws = (total * left + int(rng.integers(n))) // n
+        got = rng.multivariate_hypergeometric(held, draws) if total else held
+        halves = []
+        for begin, size, own in ((at, left, got), (at + left, n - left, held - got)):
+            some = own > 0
+            halves += node(begin, size, places[some], own[some])
+        return halves
 
-    return node(0, n_shards, quotas)
+    held = np.asarray(quotas, np.int64)
+    return node(0, n_shards, np.flatnonzero(held), held[held > 0])
+
+
+def split_quotas(quotas: list[int], n_shards: int, seed: int) -> list[list[int]]:
+    """For each shard the blocks it gets of each source; columns add up to quotas, shards differ by at most one block a level."""
+    out = np.zeros((n_shards, len(quotas)), np.int64)
+    for shard, (places, held) in enumerate(quota_tree(quotas, n_shards, seed)):
+        out[shard, places] = held
+    return out.tolist()
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: tuple[int, int] = (3, 2), limit: int = 2) -> DataFrame:
@@ -107,21 +106,19 @@ def _unit(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
-def filled_by_all(held: DataFrame, blocks: DataFrame, some: DataFrame) -> DataFrame:
-    """`some` with what fills the rest of each target, first fit over all that is left of the block it ends in and of those after it.
+def last_draws(held: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(place, unit): what each source's last draw takes, first fit in order over the block that the target ends in and those after it.
 
     A round tries the documents no larger than what is left, of as many blocks in order as hold
     TRIED of them, so no array is longer than that and a block.  What was tried and left out
-    never fits again.  At the end no document after the target's end fits.
+    never fits again.  At the end no document after the target's end fits.  Documents without
+    words come with whole blocks only.
     """
     end = blocks.where("ends").select("place", F.col("rank").alias("end"), "room")
-    docs = held.join(blocks.select("place", "block", "rank"), ["place", "block"]).join(end, "place").where("rank >= end and size > 0")
-    docs = docs.groupBy("place", "rank", "unit", "doc_id").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
-    taken = docs.join(some, ["place", "unit"])
-    rooms = end.join(taken.groupBy("place").agg(F.sum("size").alias("in")), "place", "left")
-    rooms = materialize(rooms.select("place", (F.col("room") - F.coalesce("in", F.lit(0))).alias("left"), (F.col("end") - 1).alias("done")), "rooms")
-    docs = materialize(docs.drop("room").join(some.select("place", "unit"), ["place", "unit"], "left_anti"), "left-out")
-    out = some
+    docs = held.join(blocks.select("place", "block", "rank"), ["place", "block"]).join(end.drop("room"), "place").where("rank >= end and size > 0")
+    docs = materialize(docs.groupBy("place", "rank", "unit", "doc_id").agg(F.sum("size").alias("size")), "left-out")
+    rooms = end.select("place", F.col("room").alias("left"), (F.col("end") - 1).alias("done"))
+    out = docs.select("place", "unit").limit(0)
     while True:
         fit = docs.join(rooms, "place").where("rank > done and size <= left")
         upto = F.sum("n").over(Window.partitionBy("place").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
@@ -133,9 +130,8 @@ def filled_by_all(held: DataFrame, blocks: DataFrame, some: DataFrame) -> DataFr
         )
         tried = materialize(tried.select("place", "done", F.aggregate("xs", state, first_fit).alias("got")), "filled")
         if tried.isEmpty():
-            return out
-        units = tried.select("place", F.explode("got.units").alias("unit"), F.lit(True).alias("part"))
-        out = out.unionAll(units)
+            return out.distinct()
+        out = out.unionAll(tried.select("place", F.explode("got.units").alias("unit")))
         rooms = tried.select("place", F.col("got.left").alias("left"), "done")
 
 
@@ -146,33 +142,42 @@ def first_fit(acc: Column, x: Column) -> Column:
     ).otherwise(acc)
 
 
-def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, fill_all: bool = False) -> Mix:
-    """Draw the mix from rows (doc_id, text, source).
+def owners(plan: list, n_shards: int, seed: int, spark: SparkSession) -> DataFrame:
+    """(place, draw, shard): the shard whose quota covers each block draw, a row a draw.  plan has rows (place, draws)."""
+    places = np.array([r["place"] for r in plan], np.int64)
+    at = np.zeros(len(plan), np.int64)
+    held: tuple[list, list, list, list] = ([], [], [], [])
+    for shard, (own, n) in enumerate(quota_tree([r["draws"] for r in plan], n_shards, seed)):
+        for column, x in zip(held, (places[own], np.full(len(own), shard), at[own], at[own] + n - 1), strict=True):
+            column.append(x)
+        at[own] += n
+    cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in held]
+    runs = spark.createDataFrame(pa.table(dict(zip(("place", "shard", "first", "last"), cols, strict=True))))
+    return runs.select("place", F.explode(F.sequence("first", "last")).alias("draw"), F.col("shard").cast("int").alias("shard"))
 
-    With fill_all, what is left of a target after the block it ends in is filled from all blocks
-    after it; else as OP4_SQL has it, from the next FILL documents of that block.
+
+def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> Mix:
+    """Draw the mix from rows (doc_id, text, source).
 
     A null text has size 0; null sources are one source.  Rows with the same
-    doc_id and source are taken or left together.  The same rows give the same
-    mix whatever their order.  An empty table gives an empty mix.
+    doc_id and source, null doc_ids too, are taken or left together.  The same
+    rows give the same mix whatever their order.  An empty table gives an empty
+    mix.  Other columns of docs are left out.
     """
-    spark = docs.sparkSession
     rows = materialize(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _unit(F.col("doc_id"), seed).alias("unit")),
         "sizes",
     )
     src = source_targets(rows)
-    n_blocks = F.least(
-        F.lit(MAX_BLOCKS), 1 + F.floor(F.col("source_size") / BLOCK_WORDS) + F.floor(F.col("n_docs") / BLOCK_DOCS)
-    ).cast("int")
+    n_blocks = 1 + F.floor(F.col("source_size") / BLOCK_WORDS) + F.floor(F.col("n_docs") / BLOCK_DOCS)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    src = src.withColumn("n_blocks", n_blocks).withColumn("passes", passes)
+    src = src.withColumn("n_blocks", n_blocks.cast("long")).withColumn("passes", passes)
     src = materialize(src.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "targets")
 
-    sixteen = F.conv(F.substring("unit", 1, 4), 16, 10).cast("int")
+    hashed = F.conv(F.substring("unit", 1, 8), 16, 10).cast("long")
     held = rows.join(src, rows["source"].eqNullSafe(src["source"])).drop(src["source"])
-    held = held.withColumn("block", F.floor(sixteen * F.col("n_blocks") / 65536).cast("int"))
-    blocks = held.groupBy("place", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("n_blocks").alias("n_blocks"))
+    held = held.withColumn("block", F.shiftright(hashed * F.col("n_blocks"), 32))
+    blocks = held.groupBy("place", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     by = Window.partitionBy("place").orderBy(F.md5(F.concat_ws("|", "place", "block", F.lit(seed))), "block")
     blocks = blocks.withColumn("rank", F.row_number().over(by) - 1).withColumn(
         "upto", F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -180,70 +185,38 @@ def mix(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, fill_all: b
     whole = F.col("upto") <= F.col("rest")
     ends = ~whole & (F.col("upto") - F.col("words") < F.col("rest"))
     blocks = materialize(
-        blocks.select("place", "block", "rank", whole.alias("whole"), ends.alias("ends"), (F.col("rest") - F.col("upto") + F.col("words")).alias("room")),
+        blocks.select("place", "block", "rank", "passes", whole.alias("whole"), ends.alias("ends"), (F.col("rest") - F.col("upto") + F.col("words")).alias("room")),
         "blocks",
     )
-
-    # Documents of the blocks in which targets end: a prefix in hash order, then what of the next few still fits.
-    last = held.join(blocks.where("ends"), ["place", "block"]).groupBy("place", "doc_id", "unit").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
-    by = Window.partitionBy("place").orderBy("unit", F.col("doc_id").asc_nulls_last())
-    last = last.withColumn("upto", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    last = last.withColumn("fits", F.col("upto") <= F.col("room"))
-    more = last.withColumn("after", F.sum((~F.col("fits")).cast("int")).over(by)).where(f"not fits and after <= {FILL}")
-    state = F.struct(F.col("left").alias("left"), F.array().cast("array<string>").alias("ids"))
-
-    def take(acc: Column, x: Column) -> Column:
-        fits = x["size"] <= acc["left"]
-        return F.when(
-            fits, F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["ids"], F.array(x["unit"])).alias("ids"))
-        ).otherwise(acc)
-
-    filled = (
-        more.groupBy("place")
-        .agg(F.sort_array(F.collect_list(F.struct("unit", "doc_id", "size"))).alias("xs"), F.min(F.col("room") - F.col("upto") + F.col("size")).alias("least"), F.max(F.col("room") - (F.col("upto") - F.col("size"))).alias("left"))
-        .select("place", F.explode(F.aggregate("xs", state, take)["ids"]).alias("unit"))
-    )
-    some = materialize(
-        last.where("fits").select("place", "unit").unionAll(filled).distinct().withColumn("part", F.lit(True)), "ends"
-    )
-
-    if fill_all:
-        some = materialize(filled_by_all(held, blocks, some).distinct(), "fills")
-
-    # Quotas: all blocks of each whole pass, then the permuted prefix and the block in which it ends.
-    quota = blocks.groupBy("place").agg(F.count_if(F.col("whole") | F.col("ends")).alias("prefix"))
-    counts = blocks.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
-    plan = src.join(quota, "place").join(counts, "place").select("place", "passes", "prefix", "n").orderBy("place").collect()
-    shares = split_quotas([r["passes"] * r["n"] + r["prefix"] for r in plan], n_shards, seed)
-    lines = []
-    for k, r in enumerate(plan):
-        upto, at = [], 0
-        for share in shares:
-            at += share[k]
-            upto.append(at)
-        lines.append({"place": r["place"], "n": r["n"], "upto": upto})
-    kind = "array<struct<place:int,n:int,upto:array<int>>>"
-    cuts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(lines)), kind)))
-
-    held = held.join(blocks, ["place", "block"]).join(cuts, "place").join(some, ["place", "unit"], "left")
-    shard_of = lambda draw: F.size(F.filter("upto", lambda e: e <= draw))
-    full = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda p: p < F.col("passes")), lambda p: shard_of(p * F.col("n") + F.col("rank")))
-    drawn = F.col("whole") | (F.col("ends") & F.coalesce("part", F.lit(False)))
-    extra = F.when(drawn, F.array(shard_of(F.col("passes") * F.col("n") + F.col("rank")))).when(
-        F.col("part"), F.array(F.pmod(F.xxhash64("unit"), F.lit(n_shards)).cast("int"))  # of a block after the end, which no shard owns
-    ).otherwise(F.array().cast("array<int>"))
-    return Mix(
-        held.select("doc_id", "source", "unit", "size", "source_size", "target", F.concat(full, extra).alias("shards")),
-        n_shards,
-    )
-
-
-def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, fill_all: bool = False) -> DataFrame:
+    some = materialize(last_draws(held, blocks), "last-draws").withColumn("part", F.lit(True))
+
+    # Quotas: all blocks of each whole pass, then the permuted prefix and the last draw.
+    sizes = blocks.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("whole") | F.col("ends")).alias("prefix"), F.first("passes").alias("passes"))
+    sizes = materialize(sizes, "quotas")
+    plan = sizes.select("place", (F.col("passes") * F.col("n") + F.col("prefix")).alias("draws")).orderBy("place").collect()
+    owned = materialize(owners(plan, n_shards, seed, docs.sparkSession), "owners")
+
+    # Each block's draws find the shard that owns them; documents then read their block's.
+    last = F.when(F.col("whole") | F.col("ends"), F.col("passes")).otherwise(F.col("passes") - 1)
+    turns = blocks.join(sizes.select("place", "n"), "place").where(last >= 0).select("place", "block", "whole", "ends", "passes", "n", "rank", F.explode(F.sequence(F.lit(0), last)).alias("turn"))
+    turns = turns.withColumn("draw", F.col("turn") * F.col("n") + F.col("rank")).join(owned, ["place", "draw"])
+    ending = turns.where("ends and turn = passes").select("place", F.col("shard").alias("end_shard"))
+    full = F.when(F.col("whole") | (F.col("turn") < F.col("passes")), F.struct("turn", "shard"))
+    dealt = turns.groupBy("place", "block").agg(F.transform(F.sort_array(F.collect_list(full)), lambda x: x["shard"]).alias("full"))
+
+    some = some.join(ending, "place").select("place", "unit", "end_shard")
+    held = held.join(dealt, ["place", "block"], "left").join(some, ["place", "unit"], "left")
+    none = F.array().cast("array<int>")
+    shards = F.concat(F.coalesce("full", none), F.when(F.col("end_shard").isNotNull(), F.array("end_shard")).otherwise(none))
+    return Mix(held.select("doc_id", "source", "unit", "size", "source_size", "target", shards.alias("shards")), n_shards)
+
+
+def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED) -> DataFrame:
     """The mix as rows of docs, dealt to n_shards partitions and shuffled inside each.
 
-    A document drawn twice gives two rows.
+    A document drawn twice gives two rows, repeated rows are drawn together, and an empty table gives none.
     """
-    drawn = mix(docs, n_shards, seed, fill_all).draws.select("doc_id", "source", "unit", "shards").distinct()
+    drawn = mix(docs, n_shards, seed).draws.select("doc_id", "source", "unit", "shards").distinct()
     cols = docs.columns
     d, m = docs.alias("d"), drawn.alias("m")
     rows = d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")))
@@ -253,6 +226,7 @@ def mixed_documents(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED,
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its size, its source's size and target, and the words and draws that shards' quotas take of it."""
     drawn = mix(table(spark, sf_dir, "documents"), N_SHARDS, SEED).draws
     return drawn.select(
         "doc_id",
@@ -264,7 +238,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: What is taken does not depend on which shard draws it, so the same in SQL needs no tree.
+#: What is taken does not depend on which shard draws it, as long as the tree's quotas cover every draw once, which this therefore checks.
 OP4_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
@@ -284,30 +258,34 @@ s6 AS (SELECT *, first(struct_pack(num := num, den := den) ORDER BY CASE WHEN st
 s7 AS (SELECT *, CASE WHEN stops THEN CAST(most AS DOUBLE) ELSE CAST(weight * level.num AS DOUBLE) / CAST(level.den AS DOUBLE) END AS target FROM s6),
 s AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INT) ELSE 0 END AS passes,
-    least({MAX_BLOCKS}, 1 + source_size // {BLOCK_WORDS} + n_docs // {BLOCK_DOCS}) AS n_blocks
+    1 + source_size // {BLOCK_WORDS} + n_docs // {BLOCK_DOCS} AS n_blocks
   FROM s7
 ),
 h AS (
   SELECT d.*, source_size, target, place, passes, target - passes * source_size AS rest,
-    CAST(('0x' || substr(unit, 1, 4))::BIGINT * n_blocks // 65536 AS INT) AS block
+    CAST(('0x' || substr(unit, 1, 8))::BIGINT * n_blocks // 4294967296 AS BIGINT) AS block
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 ),
 b1 AS (SELECT place, block, sum(size) AS words, first(rest) AS rest FROM h GROUP BY place, block),
-b2 AS (SELECT *, sum(words) OVER (PARTITION BY place ORDER BY md5(place || '|' || block || '|{SEED}'), block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM b1),
-b AS (SELECT place, block, upto <= rest AS whole, upto > rest AND upto - words < rest AS ends, rest - upto + words AS room FROM b2),
-l1 AS (SELECT h.place, doc_id, unit, sum(size) AS size, first(room) AS room FROM h JOIN b ON h.place = b.place AND h.block = b.block AND b.ends GROUP BY h.place, doc_id, unit),
-l2 AS (SELECT *, sum(size) OVER (PARTITION BY place ORDER BY unit, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM l1),
-l3 AS (SELECT *, sum(CASE WHEN upto <= room THEN 0 ELSE 1 END) OVER (PARTITION BY place ORDER BY unit, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after FROM l2),
-f(place, after, remaining, unit) AS (
-  SELECT place, 0, room - max(CASE WHEN upto <= room THEN upto ELSE 0 END), '' FROM l3 GROUP BY place, room
+b2 AS (
+  SELECT *, sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, row_number() OVER w AS rank
+  FROM b1 WINDOW w AS (PARTITION BY place ORDER BY md5(place || '|' || block || '|{SEED}'), block)
+),
+b AS (SELECT place, block, rank, upto <= rest AS whole, upto > rest AND upto - words < rest AS ends, rest - upto + words AS room FROM b2),
+l1 AS (
+  SELECT h.place, b.rank, doc_id, unit, sum(size) AS size FROM h JOIN b ON h.place = b.place AND h.block = b.block JOIN b e ON e.place = b.place AND e.ends AND b.rank >= e.rank
+  WHERE size > 0 GROUP BY h.place, b.rank, doc_id, unit
+),
+l AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY rank, unit, doc_id NULLS FIRST) AS o FROM l1),
+f(place, o, remaining, unit) AS (
+  SELECT place, 0, room, '' FROM b WHERE ends
   UNION ALL
-  SELECT f.place, f.after + 1, CASE WHEN l3.size <= f.remaining THEN f.remaining - l3.size ELSE f.remaining END, CASE WHEN l3.size <= f.remaining THEN l3.unit ELSE '' END
-  FROM f JOIN l3 ON l3.place = f.place AND l3.after = f.after + 1 AND l3.upto > l3.room
-  WHERE f.after < {FILL}
+  SELECT f.place, f.o + 1, CASE WHEN l.size <= f.remaining THEN f.remaining - l.size ELSE f.remaining END, CASE WHEN l.size <= f.remaining THEN l.unit ELSE '' END
+  FROM f JOIN l ON l.place = f.place AND l.o = f.o + 1
 ),
-k AS (SELECT DISTINCT place, unit FROM (SELECT place, unit FROM l3 WHERE upto <= room UNION ALL SELECT place, unit FROM f WHERE unit <> '')),
+k AS (SELECT DISTINCT place, unit FROM f WHERE unit <> ''),
 x AS (
-  SELECT h.*, passes + CASE WHEN b.whole OR (b.ends AND k.unit IS NOT NULL) THEN 1 ELSE 0 END AS draws
+  SELECT h.*, passes + CASE WHEN b.whole OR k.unit IS NOT NULL THEN 1 ELSE 0 END AS draws
   FROM h JOIN b ON h.place = b.place AND h.block = b.block LEFT JOIN k ON h.place = k.place AND h.unit = k.unit
 )
 SELECT doc_id, size, source_size, target, CAST(size * draws AS BIGINT) AS taken, CAST(draws AS INT) AS draws FROM x"""
