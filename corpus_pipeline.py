@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Without a labelled text to learn from, no document can be told.
     """
-    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    model = language_id.fit(docs.select("text", "lang"))
     found = language_id.identify(docs.select(*COLUMNS), model).where("not rejected")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by source; one that is drawn twice is there twice."""
     words = docs.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     n_shards = min(SHARDS[1], max(SHARDS[0], words // SHARD_WORDS))
-    return source_mix.mixed_documents(docs.select(*COLUMNS), n_shards, fill_all=True)
+    return source_mix.mixed_documents(docs.select(*COLUMNS), n_shards)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
