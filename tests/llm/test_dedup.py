@@ -24,7 +24,7 @@ def test_chunks_are_the_text(docs, corpus):
     held = chunks_of(docs)
     for i, text, *_ in corpus:
         assert "\n".join(c["content"] for c in held[i]) == (text or "")
-        assert all(1 <= c["n_lines"] <= line_dedup.MOST for c in held[i])
+        assert all(1 <= c["n_lines"] for c in held[i])
 
 
 def test_boundaries_withstand_shifts(spark):
@@ -35,19 +35,65 @@ def test_boundaries_withstand_shifts(spark):
     assert len(x - y) <= 3
 
 
-def test_later_chunks_go(spark, tables, corpus, docs):
-    held, seen = chunks_of(docs), set()
-    got = {r["doc_id"]: r for r in line_dedup.op1_line_dedup(spark, tables["full"]).collect()}
-    for i in sorted(held):
-        kept = []
-        for c in held[i]:
-            if c["n_lines"] >= 2 and c["content"] in seen:
+def line_cuts(lines):
+    """Where chunks end, from the rule itself."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    rolled = [(x + line_dedup.BASE * (h[i - 1] if i else 0)) % line_dedup.MODULUS for i, x in enumerate(h)]
+    return [i + 1 for i, r in enumerate(rolled) if i == len(lines) - 1 or r % line_dedup.ONE_IN == 0]
+
+
+def slow_line_dedup(texts):
+    """(kept text, number of chunks that go) by document: chunks in order, each extended line by line beside its first occurrence."""
+    cut, first = {}, {}
+    for i in sorted(texts):
+        lines = texts[i].split("\n") if texts[i] else []
+        ends = line_cuts(lines) if lines else []
+        cut[i] = lines, list(zip([0, *ends], ends))
+        for p, (b, e) in enumerate(cut[i][1]):
+            first.setdefault("\n".join(lines[b:e]), (i, p))
+    out = {}
+    for i, (lines, chunks) in cut.items():
+        gone, spans = set(), set()
+        for p, (b, e) in enumerate(chunks):
+            j, q = first["\n".join(lines[b:e])]
+            if (j, q) == (i, p) or not re.search(r"[^\x20\x09-\x0D]", "\n".join(lines[b:e])):
                 continue
-            if c["n_lines"] >= 2:
-                seen.add(c["content"])
-            kept.append(c["content"])
-        assert got[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest(), i
-        assert got[i]["n_removed"] == len(held[i]) - len(kept)
+            theirs, others = cut[j]
+            (fb, fe), lo, hi = others[q], 0, 0
+            before = (chunks[max(0, p - 2)][0], others[max(0, q - 2)][0])
+            after = (chunks[p + 1][1] if p + 1 < len(chunks) else e, others[q + 1][1] if q + 1 < len(others) else fe)
+            while b - lo > before[0] and fb - lo > before[1] and lines[b - lo - 1] == theirs[fb - lo - 1]:
+                lo += 1
+            while e + hi < after[0] and fe + hi < after[1] and lines[e + hi] == theirs[fe + hi]:
+                hi += 1
+            if e - b + lo + hi >= 2:
+                gone |= set(range(b - lo, e + hi))
+                spans.add((b - lo, e + hi))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(spans), len(gone)
+    return out
+
+
+def test_later_chunks_go(spark, tables, corpus):
+    want = slow_line_dedup({i: t for i, t, *_ in corpus})
+    for r in line_dedup.op1_line_dedup(spark, tables["full"]).collect():
+        kept, chunks, lines = want[r["doc_id"]]
+        assert r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest(), r["doc_id"]
+        assert (r["n_removed"], r["n_removed_lines"]) == (chunks, lines)
+    assert sum(n for _, n, _ in want.values()) > 20
+
+
+def test_shared_passages_go_whole(spark):
+    """Passages of five lines in the middle of otherwise different documents: most go, and then with their first and last lines."""
+    rng = random.Random(9)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+    rows, passages = [], [[line() for _ in range(5)] for _ in range(60)]
+    for i, p in enumerate(passages):
+        rows += [(2 * i, "\n".join([line(), line(), *p, line()])), (2 * i + 1, "\n".join([line(), *p, line(), line(), line()]))]
+    got = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r["n_removed_lines"] == 0 for i, r in got.items() if i % 2 == 0)
+    gone = [got[2 * i + 1]["n_removed_lines"] for i in range(60)]
+    assert set(gone) <= {0, 2, 3, 4, 5} and sum(n == 5 for n in gone) >= 35
+    assert all(t in got[2 * i + 1]["text"].split("\n") for i in range(60) for t in (rows[2 * i + 1][1].split("\n")[0],))
 
 
 def test_hash_twins_are_told_apart_by_bytes(spark, monkeypatch):
