@@ -211,3 +211,31 @@ def test_suffixes_that_share_a_hash(monkeypatch):
     monkeypatch.setattr(passage_dedup, "stretch_hashes", lambda d, s, n: np.zeros(len(s), np.uint64))
     assert (passage_dedup.repeated_starts(data, sizes, doc) == want).all()
     assert want[6] == (1 << 11) - 1 and not want[:6].any()
+
+
+def test_suffix_array():
+    """The order is that of the first MATCH bytes, and new says where those differ."""
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.integers(97, 99, 400, dtype=np.uint8), np.zeros(120, np.uint8), rng.integers(0, 256, 100, dtype=np.uint8), np.full(90, 255, np.uint8)])
+    data = np.concatenate([data, data[100:300]])
+    at = rng.permutation(len(data) - passage_dedup.MATCH)
+    order, new = passage_dedup.suffix_array(data, at)
+    heads = [data[a : a + passage_dedup.MATCH].tobytes() for a in at[order]]
+    assert heads == sorted(heads) and new.tolist() == [True] + [a != b for a, b in zip(heads, heads[1:])]
+
+
+def test_phrases_that_share_a_hash(spark, monkeypatch):
+    """With a phrase hash that is the same for all, a chunk's phrases are told apart by their bytes."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abc ") for _ in range(300))
+    texts = {i: "".join(rng.choice("abc ") for _ in range(rng.randrange(200))) + passage[10 * i :] for i in range(6)}
+    data = b"".join(texts[i].encode() for i in texts)
+    ids = np.array(list(texts), np.int64)
+    parse = passage_dedup.Parse(ids, np.frombuffer(data, np.uint8), np.array([len(t) for t in texts.values()]))
+    parse.deduplicate()
+    phrase = lambda k: data[parse.start[k] : parse.start[k] + parse.size[k] + passage_dedup.MATCH - 1]
+    assert all(phrase(k) == phrase(parse.heads[h]) for k, h in enumerate(parse.head_at))
+    assert len({phrase(k) for k in parse.heads}) == len(parse.heads) < len(parse.start)
+    monkeypatch.setattr(passage_dedup.Parse, "phrase_hashes", lambda self: np.full(len(self.start), 7, np.uint64))
+    parse.deduplicate()
+    assert all(phrase(k) == phrase(parse.heads[h]) for k, h in enumerate(parse.head_at))

@@ -16,17 +16,23 @@ their occurrences in the corpus, by document, is the parse.
    or that only one phrase has, is settled too.  In copied text that is nearly
    all of it.
 3. For triggers with several phrases, one occurrence of each phrase sends its
-   bytes.  The suffixes of this dictionary that are long enough are sorted, so
-   equal matches stand together, and the parse gives the first document of each.
+   bytes.  They are the dictionary, whose suffix array is built to the depth of
+   a match, by the bytes themselves, with the places where neighbours part
+   before that depth.  The parse, in the order of its phrases' ranks and then of
+   the corpus, says which document has each phrase first; along a run of
+   suffixes that agree in a whole match the least of these is the first
+   document of that match.
 4. Each chunk joins what it was told and removes the covered bytes.
 
-Since a match is no longer than what a phrase is extended by, the suffix order
-of the parse is needed only up to its first phrase: which document comes first.
+Since a match is no longer than what a phrase is extended by, suffixes that tie
+in the dictionary need not be told apart by what follows in the parse: its
+suffix array is needed to the depth of one phrase.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +47,9 @@ from weirflow.llm._shared import materialize, table
 MATCH = 50
 TRIGGER = 20
 SPAN = MATCH - TRIGGER + 1
-#: Bytes of text in a chunk, and of text whose phrases share a bucket.  A (chunk,
-#: bucket) pair is one row, so for a corpus of terabytes both should be larger.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Bytes of text in a chunk, and of text whose phrases share a bucket, up to PLAIN bytes in all.  A (chunk, bucket)
+#: pair is one row, so both grow with the root of what is beyond, up to MOST times, which is what memory bounds.
+CHUNK_BYTES, BUCKET_BYTES, PLAIN, MOST = 4 << 20, 16 << 20, 100 << 30, 4
 LAST = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(20261126)
@@ -155,11 +161,28 @@ class Parse:
         phrases = self.phrase_hashes()
         order = np.argsort(phrases, kind="stable")  # the chunk's documents stand by doc_id
         new = np.append(True, phrases[order][1:] != phrases[order][:-1])[: len(order)]
+        head = order[new][np.cumsum(new) - 1] if len(order) else order
+        if len(odd := order[~self.same_bytes(order, head)]):
+            # Phrases that share a hash but not their bytes get hashes that nothing else has, so step 3 compares them.
+            phrases[odd] ^= _mix(odd.astype(np.uint64) * _A + self.trigger[odd])
+            order = np.argsort(phrases, kind="stable")
+            new = np.append(True, phrases[order][1:] != phrases[order][:-1])[: len(order)]
         self.heads = order[new]
         self.head_at = np.empty(len(order), np.int64)
         self.head_at[order] = np.cumsum(new) - 1
         return phrases[self.heads]
 
+    def same_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each phrase of a has the bytes of that of b, eight at a time."""
+        same = self.size[a] == self.size[b]
+        pairs = np.flatnonzero((a != b) & same)
+        words = np.ndarray((max(0, len(self.data) - 7),), "<u8", self.data, strides=(1,))
+        last = self.size[a[pairs]] + MATCH - 1 - 8
+        for step in range(0, int(last.max(initial=-8)) + 8, 8):
+            at = np.minimum(step, last)
+            same[pairs] &= words[self.start[a[pairs]] + at] == words[self.start[b[pairs]] + at]
+        return same
+
     def buckets(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
         """Each bucket with the places of its phrases in `heads`, in order; none for texts that are all shorter than a match."""
         if not len(self.heads):
@@ -301,31 +324,48 @@ def dictionary_rows(judged: DataFrame, n_buckets: int) -> DataFrame:
     return judged.mapInArrow(run, "bucket int, chunk long, triggers binary, docs binary, sizes binary, bytes binary")
 
 
-def repeated_starts(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, part: int = 1 << 20) -> np.ndarray:
+def suffix_array(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the suffixes at these places in the order of their first MATCH bytes, and which differ in them from the one before.
+
+    Suffixes that tie are sorted on by their next eight bytes, until none ties or the depth of a match is reached.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+    # The last eight bytes of a match overlap the ones before, which are the same by then.
+    spots = [*range(0, MATCH - 7, 8), *([MATCH - 8] if MATCH % 8 else [])]
+    first = words[at].astype(np.uint64)
+    order = np.argsort(first)
+    new = np.append(True, first[order][1:] != first[order][:-1])
+    for spot in spots[1:]:
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
+            break
+        group, own = (np.cumsum(new) - 1)[tied], order[tied]
+        key = words[at[own] + spot].astype(np.uint64)
+        by_key = np.argsort(key)
+        rank = np.empty(len(key), np.int64)
+        rank[by_key] = np.cumsum(np.append(False, key[by_key][1:] != key[by_key][:-1]))
+        both = group << np.int64(32) | rank
+        within = np.argsort(both)
+        order[tied] = own[within]
+        both = both[within]
+        new[tied] = np.append(True, both[1:] != both[:-1])
+    return order, new
+
+
+def repeated_starts(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each phrase of a dictionary a bit for each start whose match an earlier document has.
 
-    The suffixes of at least MATCH bytes are sorted by the hash of their first MATCH
-    bytes and then by those bytes; the runs of equal ones are the matches.
+    doc is the parse: the document of each occurrence.  Only suffixes of at least MATCH bytes are sorted.
     """
     starts = sizes - MATCH + 1
     owner = np.repeat(np.arange(len(sizes)), starts)
     place = np.arange(len(owner)) - (np.cumsum(starts) - starts)[owner]
-    at = (np.cumsum(sizes) - sizes)[owner] + place
-    hashes = stretch_hashes(data, at, np.int64(MATCH))
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
-    spots = [*range(0, MATCH - 7, 8), *([MATCH - 8] if MATCH % 8 else [])]
-    order = np.argsort(hashes)
-    same = hashes[order][1:] == hashes[order][:-1]
-    pairs = np.flatnonzero(same)
-    here, there = at[order[pairs]], at[order[pairs + 1]]
-    if any((words[here + s] != words[there + s]).any() for s in spots):  # suffixes that share a hash but not their bytes
-        keys = [words[at + s].astype(np.uint64) for s in spots]
-        order = np.lexsort([*keys[::-1], hashes])
-        same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (hashes, *keys)])
-    new = np.append(True, ~same)
+    order, new = suffix_array(data, (np.cumsum(sizes) - sizes)[owner] + place)
+    runs = np.flatnonzero(new)
+    # Each run's suffixes stand for the occurrences of their phrases; the parse puts the least document first.
     owned = doc[owner[order]]
-    least = np.minimum.reduceat(owned, np.flatnonzero(new))
+    least = np.minimum.reduceat(owned, runs)
     found = order[least[np.cumsum(new) - 1] < owned]
     bits = np.zeros(len(sizes), np.uint64)
     np.bitwise_or.at(bits, owner[found], np.uint64(1) << place[found].astype(np.uint64))
@@ -384,15 +424,20 @@ def removed_bytes(parse: Parse, told: dict[int, bytes], answered: dict[int, byte
     return np.cumsum(step[:-1]) > 0
 
 
-def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, keep_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int | None = None, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of docs.
 
     A byte is removed if a string of MATCH bytes that covers it starts in a
     document with a smaller doc_id too.  Null texts are empty.  A null doc_id
     comes after all others.  Rows that share a doc_id are one document as far
     as "earlier" goes.  An empty table gives no rows.  kept holds the remaining
-    bytes, which need not be whole characters.
+    bytes, which need not be whole characters.  Other columns of docs are left
+    out.  Chunks and buckets follow the size of the table unless they are given.
     """
+    if chunk_bytes is None or bucket_bytes is None:
+        total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        times = min(MOST, max(1, math.sqrt(total / PLAIN)))
+        chunk_bytes, bucket_bytes = chunk_bytes or int(CHUNK_BYTES * times), bucket_bytes or int(BUCKET_BYTES * times)
     chunked = materialize(chunks(docs, chunk_bytes), "chunks")
     n_chunks = chunked.count()
     n_buckets = max(4, -(-n_chunks * chunk_bytes // bucket_bytes))
@@ -424,6 +469,7 @@ def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_byte
 
 
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its bytes, those removed and in how many runs, and the SHA-256 of the rest."""
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
