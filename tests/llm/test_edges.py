@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from weirflow.llm import registry
 
-QUERIES = registry.queries()
+QUERIES = registry.queries() | {"pipeline": corpus_pipeline.run}
 
 
 def test_all_ten_are_there():

@@ -1,4 +1,4 @@
-"""The queries of this subpackage for __spark_entry__.py."""
+"""The queries of this subpackage for __spark_entry__.py, which adds the pipeline of corpus_pipeline.py."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from weirflow.llm.flac_media import op6_flac_media
 from weirflow.llm.language_id import op8_language_id
 from weirflow.llm.length_packing import op7_length_packing
@@ -31,11 +30,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_token_rollup": op9_token_rollup,
         "op10_passage_dedup": op10_passage_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    out = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op10_passage_dedup": OP10_SQL}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL, "op10_passage_dedup": OP10_SQL}
