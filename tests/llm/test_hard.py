@@ -72,19 +72,40 @@ def test_a_doc_id_links_all_its_texts(spark):
 
 
 def test_large_band_groups_are_compared_in_whole(spark):
-    """Members that neither of the two chosen ones is like find each other through their signatures."""
-    rng = np.random.default_rng(2)
-    rows, width = [], simhash_dedup.BANDS * simhash_dedup.ROWS
+    """Members that neither of the two chosen ones is like find each other through their signatures, and the shingles decide."""
+    rng = random.Random(2)
+    rows, texts = [], []
     for k in range(30):
-        own = rng.integers(0, 256, width, dtype=np.uint8)
-        near = own.copy()
-        near[rng.permutation(width)[:40]] += 1
-        rows += [(2 * k, bytes(own)), (2 * k + 1, bytes(near))]
+        words = [f"{k}w{i}" for i in range(200)]
+        other = list(words)
+        for at in range(3, 200, 25 if k % 2 else 9):  # 40 or 110 of 196 shingles change
+            other[at] = f"x{rng.random()}"
+        for i, own in ((2 * k, words), (2 * k + 1, other)):
+            texts.append((i, " ".join(own)))
+            least = simhash_dedup.least_hashes(simhash_dedup.shingle_hashes([w.encode() for w in own], 5))
+            rows.append((i, bytes(least.astype(np.uint8))))
     reps = spark.createDataFrame(rows, "id long, signature binary")
     members = reps.select(F.lit(1).cast("long").alias("key"), "id", F.lit(len(rows)).cast("long").alias("n"))
-    found = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
-    got = {(r["a"], r["b"]) for r in simhash_dedup.apart(reps, members, found, tile=7, block=3).collect()}
-    assert got == {(2 * k, 2 * k + 1) for k in range(1, 30)}
+    found = spark.createDataFrame([(2, 2), (3, 2)], "node long, component long")
+    sets = [simhash_dedup.shingle_set(t) for _, t in texts]
+    want = {(2 * k, 2 * k + 1) for k in range(30) if k != 1 and simhash_dedup.jaccard_reached(sets[2 * k], sets[2 * k + 1])}
+    maybe = simhash_dedup.apart(reps, members, found, tile=7, block=3)
+    assert want <= {(r["a"], r["b"]) for r in maybe.collect()} <= {(2 * k, 2 * k + 1) for k in range(30)} - {(2, 3)}
+    got = simhash_dedup.settled(maybe, reps, spark.createDataFrame(texts, "id long, text string"), found, tile=5).collect()
+    assert {(r["a"], r["b"]) for r in got} == want
+
+
+def test_chains_in_one_band_group(spark, monkeypatch):
+    """Every text shares 0.8 with its neighbours in a chain only; with bands of one value all of them share many groups."""
+    monkeypatch.setattr(simhash_dedup, "FEW", 2)
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join([*words[6 * i : 6 * i + 150]])) for i in range(40)]
+    texts += [(100 + i, " ".join(f"z{i}q{k}" for k in range(60))) for i in range(10)]
+    sets = {i: simhash_dedup.shingle_set(t) for i, t in texts}
+    links = [(a, b) for a in sets for b in sets if a < b and simhash_dedup.jaccard_reached(sets[a], sets[b])]
+    want = reachable(list(sets), links)
+    got = {r["doc_id"]: r["component"] for r in simhash_dedup.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {frozenset(i for i in got if got[i] == c) for c in got.values()} == {frozenset(i for i in want if want[i] == c) for c in want.values()}
 
 
 # -- licenses, language, rules --------------------------------------------------

@@ -79,19 +79,20 @@ def fit(labelled: DataFrame, languages: int = LANGUAGES, texts: int = TEXTS, dic
     Rows with a null or empty text or a null language are left out, and texts that repeat count once.  Ties
     between languages go to the one with more documents.  An empty table gives a model that knows no language.
     """
-    rows = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    if not counts:
+    rows = labelled.where("lang is not null and text is not null and length(text) > 0").select("lang", "text", F.xxhash64("text").alias("h"))
+    each = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("different"))
+    held = each.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not held:
         return Model({})
+    counts = {r["lang"]: r["n"] for r in held}
     texts = max(1, min(texts, ALL_TEXTS // len(counts)))
     dictionary_bytes = min(dictionary_bytes, ALL_BYTES // len(counts))
-    rows = rows.where(F.col("lang").isin(list(counts))) if len(counts) == languages else rows
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    # The rank filter is applied before the shuffle too, so that a language with most of the rows moves only its sample.
-    # Copies of a text have one hash; room for some of them is left, and they are folded before the final rank.
+    # Hashes below a bound that some four times as many different texts as are wanted pass; copies fold before the shuffle.
+    bounds = [(r["lang"], min((1 << 63) - 1, (4 * texts << 64) // r["different"] - (1 << 63))) for r in held]
+    bounds = labelled.sparkSession.createDataFrame(bounds, "lang string, most long")
+    rows = rows.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(bounds), "lang").where("h <= most")  # a row a language
     by = Window.partitionBy("lang").orderBy("h")
-    some = rows.select("lang", "h").withColumn("n", F.row_number().over(by)).where(f"n <= {8 * texts}").select("lang", "h").distinct()
-    ids = some.withColumn("n", F.row_number().over(by)).where(f"n <= {texts}").select("lang", "h")
+    ids = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(by)).where(f"n <= {texts}").select("lang", "h")
     # A text may give at most an eighth, so that one long text can't be the whole dictionary.
     share = dictionary_bytes // 8
     picked = rows.join(F.broadcast(ids), ["lang", "h"])  # at most ALL_TEXTS rows

@@ -35,8 +35,8 @@ QUARTER = 16
 #: Of similar_groups: words in a shingle and least Jaccard similarity; bands, values in a band, and members of which all pairs are judged.
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS, FEW = 24, 6, 8
-#: Least number of equal signature bytes, of BANDS x ROWS, for a pair of a large group to be judged.
-LEAST = 90
+#: Least number of equal signature bytes, of BANDS x ROWS, for a pair of a large group to be judged; bytes of text in a tile.
+LEAST, TILE_BYTES = 98, 32 << 20
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -223,6 +223,11 @@ def shingle_set(text: str | None) -> set:
     return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) > SHINGLE else {tuple(words)}
 
 
+def jaccard_reached(a: set, b: set) -> bool:
+    both = len(a & b)
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
 def similar(pairs: DataFrame) -> DataFrame:
     """(a, b) of those rows (a, b, text_a, text_b) whose shingles have a Jaccard similarity of SIMILAR or more."""
 
@@ -233,8 +238,7 @@ def similar(pairs: DataFrame) -> DataFrame:
                 if a != last:
                     last, held = a, shingle_set(x.as_py())
                 other = shingle_set(y.as_py())
-                both = len(held & other)
-                near.append(both >= SIMILAR * (len(held) + len(other) - both))
+                near.append(jaccard_reached(held, other))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -254,7 +258,7 @@ def candidates(reps: DataFrame, members: DataFrame) -> DataFrame:
 
     Texts with the same key in some band: all pairs of up to FEW, else each with the least id and
     with one that differs by band, so a large group of copies makes two pairs a member; `apart`
-    has the rest of such groups.  And the links of the tiles.
+    and `settled` have the rest of such groups.  And the links of the tiles.
     """
     few = members.where(f"n <= {FEW}").select("key", "id")
     pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
@@ -266,38 +270,111 @@ def candidates(reps: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.unionAll(links.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))).distinct()
 
 
+def tile_pairs(rows: DataFrame, group: str, fields: list[str], size: Column, tile: int) -> DataFrame:
+    """(ma, m, same): each pair of tiles of a group, as arrays of structs of `fields`, and whether it is one tile.
+
+    A tile has about `tile` rows, fewer where their size is above TILE_BYTES.
+    """
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum(size) / TILE_BYTES)).cast("int")
+    counts = rows.groupBy(group).agg(parts.alias("parts"))
+    dealt = rows.join(counts, group).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tiles = materialize(dealt.groupBy(group, "part").agg(F.collect_list(F.struct(*fields)).alias("m")), "tiles")
+    heads = tiles.select(group, "part")
+    work = heads.toDF(group, "part_a").join(heads, group).where("part_a <= part")
+    work = work.join(tiles.toDF(group, "part_a", "ma"), [group, "part_a"]).join(tiles, [group, "part"])
+    return work.select("ma", "m", (F.col("part_a") == F.col("part")).alias("same"))
+
+
+class Forest:
+    """Which things are connected so far."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(p, p)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.parent[self.root(x)] = self.root(y)
+
+
+def alike_pairs(a: pa.StructArray, b: pa.StructArray, same: bool, block: int) -> Iterator[tuple[int, int]]:
+    """Places in two tiles of members that are not connected yet, and whose signatures say that they may be similar."""
+
+    def opened(x: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        signature = np.frombuffer(b"".join(x.field("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        return x.field("component").to_numpy(), signature
+
+    (ca, sa), (cb, sb) = opened(a), opened(b)
+    for at in range(0, len(ca), block):
+        near = (sa[at : at + block, None, :] == sb[None, :, :]).sum(axis=2) >= LEAST
+        for x, y in zip(*(v.tolist() for v in np.nonzero(near & (ca[at : at + block, None] != cb[None, :]))), strict=True):
+            if not same or at + x < y:
+                yield at + x, y
+
+
+def links_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def apart(reps: DataFrame, members: DataFrame, found: DataFrame, tile: int = 512, block: int = 16) -> DataFrame:
     """(a, b), a < b: members of one large band group that are not connected yet, and whose signatures say that they may be similar.
 
     A group's members are dealt to tiles, and tiles are compared in pairs, so a task holds two.  Of
-    144 least hashes similar texts share 115 on average; one pair in ten million shares fewer than LEAST.
+    144 least hashes similar texts share 115 on average; one pair in five thousand at exactly SIMILAR shares fewer
+    than LEAST.  Of each pair of tiles a spanning forest is enough to say who may be similar to whom in the end.
     """
-    known = members.where(f"n > {FEW}").select("key", "id", "n").join(found.toDF("id", "component"), "id", "left")
+    known = members.where(f"n > {FEW}").select("key", "id").join(found.toDF("id", "component"), "id", "left")
     known = known.withColumn("component", F.coalesce("component", "id"))
     open_ = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / tile)).cast("int")
-    held = known.join(open_, "key").join(reps.select("id", "signature"), "id").withColumn("part", part)
-    tiles = materialize(held.groupBy("key", "part").agg(F.collect_list(F.struct("id", "component", "signature")).alias("m")), "tiles")
-    heads = tiles.select("key", "part")
-    work = heads.toDF("key", "part_a").join(heads, "key").where("part_a <= part")
-    work = work.join(tiles.toDF("key", "part_a", "ma"), ["key", "part_a"]).join(tiles, ["key", "part"])
-
-    def opened(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = x.values
-        signature = np.frombuffer(b"".join(rows.field("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        return rows.field("id").to_numpy(), rows.field("component").to_numpy(), signature
+    held = known.join(open_, "key").join(reps.select("id", "signature"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                (ia, ca, sa), (ib, cb, sb) = opened(batch.column("ma")[k]), opened(batch.column("m")[k])
-                for at in range(0, len(ia), block):
-                    near = (sa[at : at + block, None, :] == sb[None, :, :]).sum(axis=2) >= LEAST
-                    x, y = np.nonzero(near & (ca[at : at + block, None] != cb[None, :]))
-                    a, b = ia[at + x], ib[y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            for ma, m, same in zip(batch.column("ma"), batch.column("m"), batch.column("same"), strict=True):
+                ia, ib, forest, out = ma.values.field("id").to_numpy(), m.values.field("id").to_numpy(), Forest(), []
+                for x, y in alike_pairs(ma.values, m.values, same.as_py(), block):
+                    if forest.root(ia[x]) != forest.root(ib[y]):
+                        forest.join(ia[x], ib[y])
+                        out.append((ia[x], ib[y]))
+                yield links_of(out)
+
+    return tile_pairs(held, "key", ["id", "component", "signature"], F.lit(0), tile).mapInArrow(run, "a long, b long").distinct()
+
 
-    return work.select("ma", "m").mapInArrow(run, "a long, b long").distinct()
+def settled(maybe: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame, tile: int = 256, block: int = 16) -> DataFrame:
+    """(a, b): links that the shingles confirm among the members that `maybe` (a, b) connects.
+
+    Texts (id, text) that may be similar are tiled once more, now with their texts, and each pair of tiles is judged
+    where it lies: pairs that are connected by then are left out, so copies of copies cost little, and what is
+    returned is a spanning forest and not all pairs.
+    """
+    clusters = components(maybe).toDF("id", "cluster")
+    held = clusters.join(found.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    held = held.join(reps.select("id", "signature"), "id").join(texts, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ma, m, same in zip(batch.column("ma"), batch.column("m"), batch.column("same"), strict=True):
+                sides, forest, out = (ma.values, m.values), Forest(), []
+                ids, comps = [s.field("id").to_numpy() for s in sides], [s.field("component").to_numpy() for s in sides]
+                sets: tuple[dict, dict] = ({}, {})
+                for x, y in alike_pairs(*sides, same.as_py(), block):
+                    if forest.root(comps[0][x]) == forest.root(comps[1][y]):
+                        continue
+                    for held, side, k in zip(sets, sides, (x, y), strict=True):
+                        if k not in held:
+                            held[k] = shingle_set(side.field("text")[k].as_py())
+                    if jaccard_reached(sets[0][x], sets[1][y]):
+                        forest.join(comps[0][x], comps[1][y])
+                        out.append((ids[0][x], ids[1][y]))
+                yield links_of(out)
+
+    work = tile_pairs(held, "cluster", ["id", "component", "signature", "text"], F.octet_length("text"), tile)
+    return work.mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -318,17 +395,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     reps = materialize(made.join(ids, "digest").select("id", "fp", "keys", "signature"), "sketches")
     members = materialize(band_members(reps), "bands")
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id").select("id", "digest")
-        texts = docs.select("digest", "text").join(asked, "digest").groupBy("id").agg(F.first("text").alias("text"))
-        texts = materialize(texts, "candidates")
-        return similar(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"))
+    def asked(pairs: DataFrame) -> DataFrame:
+        own = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id").select("id", "digest")
+        texts = docs.select("digest", "text").join(own, "digest").groupBy("id").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+        return materialize(texts, "candidates")
 
-    links = materialize(judged(materialize(candidates(reps, members), "pairs")), "links")
+    pairs = materialize(candidates(reps, members), "pairs")
+    texts = asked(pairs)
+    links = materialize(similar(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")), "links")
     found = materialize(components(links), "components")
-    more = materialize(apart(reps, members, found), "apart")
-    if not more.isEmpty():
-        found = components(links.unionAll(judged(more)))
+    maybe = materialize(apart(reps, members, found), "apart")
+    if not maybe.isEmpty():
+        found = components(links.unionAll(settled(maybe, reps, asked(maybe), found)))
     return ids.join(found, ids["id"] == found["node"], "left").select("digest", "doc_id", F.coalesce("component", "id").alias("component"))
 
 
