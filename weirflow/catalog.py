@@ -55,7 +55,7 @@ class Catalog:
         self.graphs: dict[str, StreamGraph] = {}
         self.sinks: dict[str, UpsertSink] = {}
         self._files = Folder(self.spark, self.folder) if self.folder else None
-        if self._files and self._files.exists("catalog.json"):
+        if self._files and self._files.has_text("catalog.json"):
             held = json.loads(self._files.read_text("catalog.json"))
             self.objects, self.variables = held["objects"], held["variables"]
             for name, o in self.objects.items():

@@ -118,16 +118,26 @@ def windows_of(df: DataFrame, node: TimeWindow) -> DataFrame:
     return df.withColumn("w_end", F.explode(F.sequence(first, base + size, step))).withColumn("w_start", F.col("w_end") - 1 - F.pmod(F.col("w_end") - 1, size))
 
 
-def sessions(df: DataFrame, node: TimeWindow) -> DataFrame:
-    """Sessions end when more than `gap` passes; w_end is the last time in it."""
+def _numbered(df: DataFrame, node: TimeWindow) -> DataFrame:
+    """Rows with the number of their session in _session."""
     w = Window.partitionBy(*[col(k) for k in node.keys]).orderBy(col(node.time))
     opens = F.coalesce((col(node.time) - F.lag(col(node.time)).over(w) > node.gap).cast("int"), F.lit(1))
-    numbered = df.withColumn("_open", opens).withColumn("_session", F.sum("_open").over(w))
+    return df.withColumn("_open", opens).withColumn("_session", F.sum("_open").over(w)).drop("_open")
+
+
+def sessions(df: DataFrame, node: TimeWindow) -> DataFrame:
+    """Sessions end when more than `gap` passes; w_end is the last time in it."""
     bounds = [F.min(col(node.time)).alias("w_start"), F.max(col(node.time)).alias("w_end")]
-    out = numbered.groupBy(*[col(k) for k in node.keys], "_session").agg(*bounds, *map(aggregate_column, node.aggregates))
+    out = _numbered(df, node).groupBy(*[col(k) for k in node.keys], "_session").agg(*bounds, *map(aggregate_column, node.aggregates))
     return out.drop("_session")
 
 
+def with_session_end(df: DataFrame, node: TimeWindow) -> DataFrame:
+    """Rows with the last time of their session in _end."""
+    w = Window.partitionBy(*[col(k) for k in node.keys], "_session")
+    return _numbered(df, node).withColumn("_end", F.max(col(node.time)).over(w)).drop("_session")
+
+
 def time_window(df: DataFrame, node: TimeWindow) -> DataFrame:
     df = df.where(col(node.time).isNotNull())
     if node.kind == "session":

@@ -6,7 +6,10 @@ change of the result.  Every node follows changes by DataFrame algebra:
 * filters and projections apply to the change itself;
 * inner joins are bilinear: change of the left with the old right, and the new
   left with the change of the right;
-* sums are kept per group and added to;
+* counts, and sums of whole numbers and decimals, are kept per group and added to;
+* other aggregates keep how often each value occurs in a group, so a sum of
+  floating-point numbers is that of the values that are left, whatever came and
+  went, and a minimum reads values and not rows;
 * all else recomputes what shares a key with the change, before and after, and
   returns the difference.
 
@@ -21,8 +24,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DecimalType, IntegerType, IntegralType, ShortType
 
 from weirflow.operators import batch
 from weirflow.operators import zset as z
@@ -31,6 +35,8 @@ from weirflow.plans.state import StateStore, Version
 
 Delta = DataFrame | None
 SUMS = ("count", "sum", "avg", "stddev_samp")
+#: Types of which the sums that an aggregate needs are exact, so that what is added can be taken away.
+EXACT = {"sum": (IntegralType, DecimalType), "avg": (IntegralType, DecimalType), "stddev_samp": (ByteType, ShortType, IntegerType)}
 
 
 class StreamGraph:
@@ -69,12 +75,16 @@ class StreamGraph:
 
     # -- changes ----------------------------------------------------------
 
-    def push(self, deltas: dict[str, DataFrame]) -> DataFrame:
-        """Apply changes {input: rows}; rows without a weight are inserted.  Returns the change of the result."""
+    def push(self, deltas: dict[str, DataFrame], **extra: object) -> DataFrame:
+        """Apply changes {input: rows}; rows without a weight are inserted.  Returns the change of the result.
+
+        extra is kept with the version, such as the epoch of the batch.
+        """
         known = self.plan.inputs()
         if unknown := set(deltas) - set(known):
             raise p.PlanError(f"the plan has no input {sorted(unknown)}")
         with self.store.next_version() as version:
+            version.extra = extra
             run = _Push(self, {k: z.weighted(d) for k, d in deltas.items()}, version)
             found: dict[str, Delta] = {}
             for n in self.plan.nodes:
@@ -164,8 +174,11 @@ class _Push:
 
     # -- what shares a key with the change ---------------------------------
 
-    def touched(self, n: p.Node, deltas: list[Delta], keys: list[list[str]], fn: Callable, whole: bool = False) -> Delta:
-        """fn over the rows whose keys a change touches, after and before.  keys: for each input its columns, in the same order."""
+    def touched(self, n: p.Node, deltas: list[Delta], keys: list[list[str]], fn: Callable, whole: bool = False, gave: bool = False) -> Delta:
+        """fn over the rows whose keys a change touches, after and before.  keys: for each input its columns, in the same order.
+
+        With `gave`, what fn gave before is kept, by the keys of the one input, and not computed again.
+        """
         held = [self.hold(n, side, d) for side, d in zip(("left", "right"), deltas, strict=False)]
         if any(new is None for _, new in held) or all(d is None for d in deltas):
             return None
@@ -178,6 +191,8 @@ class _Push:
             cut = lambda df, ks: df
         bag = lambda df: z.expand(z.checked(z.consolidate(df), n.id))
         new = [bag(cut(s, ks)) for (_, s), ks in zip(held, keys, strict=True)]
+        if gave:
+            return self._instead(n, z.weighted(fn(*new)), None if whole else touched, [] if whole else keys[0])
         old = [bag(cut(s if s is not None else t.limit(0), ks)) for (s, t), ks in zip(held, keys, strict=True)]
         return self.settle(z.difference(z.weighted(fn(*new)), z.weighted(fn(*old))))
 
@@ -213,27 +228,75 @@ class _Push:
     def on_aggregate(self, n: p.Aggregate, delta: Delta) -> Delta:
         if delta is None:
             return None
-        if all(a.function in SUMS for a in n.aggregates):
-            return self.running_sums(n, delta, n.keys, n.aggregates)
+        if n.aggregates and not any(a.function == "string_agg" for a in n.aggregates):
+            return self.running(n, delta, n.keys, n.aggregates)
         whole = not n.keys
-        if whole and self.store.read(f"{n.id}.left") is None:
-            new = self.hold(n, "left", delta)[1]
-            return self.settle(z.weighted(batch.aggregate(z.expand(z.checked(z.consolidate(new), n.id)), n.keys, n.aggregates)))
-        return self.touched(n, [delta], [list(n.keys)], lambda df: batch.aggregate(df, n.keys, n.aggregates), whole=whole)
+        return self.touched(n, [delta], [list(n.keys)], lambda df: batch.aggregate(df, n.keys, n.aggregates), whole=whole, gave=True)
+
+    def running(self, n: p.Node, delta: DataFrame, keys: tuple[str, ...], aggregates: tuple[p.Agg, ...], live: Column | None = None) -> DataFrame:
+        """Aggregates per group from sums where they are exact, and else from the values that a group has.
+
+        Groups that reach 0 rows go, but for the one group of a global aggregate.  With `live`, a condition on the
+        keys, state of groups for which it is false is given up.
+        """
+        kinds = delta.schema
+        exact = lambda a: a.column is None or a.function == "count" or isinstance(kinds[a.column].dataType, EXACT.get(a.function, ()))
+        sums = [a for a in aggregates if exact(a)]
+        moved, shown = self._sums(n, delta, keys, sums, live)
+        for j, column in enumerate(dict.fromkeys(a.column for a in aggregates if not exact(a))):
+            own = [a for a in aggregates if a.column == column and not exact(a)]
+            more = self._values(f"{n.id}.values{j}", delta, keys, column, own, live)
+            if not keys:
+                moved = moved.crossJoin(F.broadcast(more))  # a row each
+                continue
+            more = more.toDF(*[f"_j{i}" for i in range(len(keys))], *more.columns[len(keys) :])
+            on = [moved[f"`{k}`"].eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)]
+            moved = moved.join(more, reduce(lambda a, b: a & b, on)).drop(*[f"_j{i}" for i in range(len(keys))])
+        moved = self.version.share(moved)
+        by = [batch.col(k) for k in keys]
+        pick = lambda prefix: [(shown(prefix, a) if exact(a) else F.col(f"_now_{a.output}")).alias(a.output) for a in aggregates]
+        exists = F.col("_n") > 0 if keys else F.lit(True)
+        plus = moved.where(exists).select(*by, *pick(""), F.lit(1).cast("long").alias(z.WEIGHT))
+        if len(sums) < len(aggregates):
+            return self._instead(n, plus, moved.select(*by), list(keys), live)
+        existed = F.coalesce(F.col("_old_n"), F.lit(0)) > 0 if keys else F.lit(self.store.read(f"{n.id}.sums") is not None)
+        minus = moved.where(existed).select(*by, *pick("_old"), F.lit(-1).cast("long").alias(z.WEIGHT))
+        return self.settle(plus.unionAll(minus))
+
+    def _instead(self, n: p.Node, new: DataFrame, touched: DataFrame, keys: list[str], live: Column | None = None) -> DataFrame:
+        """The change from what was shown of the touched groups to what is now.
+
+        What was shown is kept and not computed again: floating-point numbers need not come out the same twice.
+        """
+        name = f"{n.id}.gave"
+        old = self.store.read(name)
+        if old is not None and keys:
+            old = z.same_key(old, touched, keys)
+        out = self.settle(z.difference(new, old))
+        self._add(name, out, z.consolidate, live)
+        return out
+
+    def _add(self, name: str, change: DataFrame, fold: Callable, live: Column | None) -> None:
+        """Add a change to state that adds up; with `live`, what is not goes at once."""
+        if live is None:
+            self.version.append(name, change, fold)
+        else:
+            self.version.write(name, fold(z.add([self.store.read(name), change])).where(live))
 
-    def running_sums(self, n: p.Node, delta: DataFrame, keys: tuple[str, ...], aggregates: tuple[p.Agg, ...]) -> DataFrame:
-        """Counts and sums per group, added to; groups that reach 0 rows go, but for the one group of a global aggregate."""
+    def _sums(self, n: p.Node, delta: DataFrame, keys: tuple[str, ...], aggregates: list[p.Agg], live: Column | None) -> tuple[DataFrame, Callable]:
+        """(touched groups with sums after and before, expression of an aggregate over them)."""
         w = F.col(z.WEIGHT)
-        sums = [F.sum(w).alias("_n")]
+        sums, place = [F.sum(w).alias("_n")], {a.output: i for i, a in enumerate(aggregates)}
         for i, a in enumerate(aggregates):
             if a.column is None:
                 continue
             c = batch.col(a.column)
             sums.append(F.sum(F.when(c.isNotNull(), w)).alias(f"_c{i}"))
+            wide = c.cast("decimal(20,0)") if isinstance(delta.schema[a.column].dataType, IntegralType) else c
             if a.function != "count":
-                sums.append(F.sum((c.cast("double") if a.function in ("avg", "stddev_samp") else c) * w).alias(f"_s{i}"))
+                sums.append(F.sum((wide if a.function != "sum" else c) * w).alias(f"_s{i}"))
             if a.function == "stddev_samp":
-                sums.append(F.sum(c.cast("double") * c.cast("double") * w).alias(f"_q{i}"))
+                sums.append(F.sum(c.cast("long") * c.cast("long") * w.cast("decimal(18,0)")).alias(f"_q{i}"))
         by = [batch.col(k) for k in keys]
         name = f"{n.id}.sums"
         old = self.store.read(name)
@@ -242,36 +305,68 @@ class _Push:
         fields = [c for c in change.columns if c not in keys]
         total = [F.sum(f"`{f}`").cast(kinds[f].dataType).alias(f) for f in fields]
         # Sums add up, so the change itself is what the state takes.
-        self.version.append(name, change, lambda df: (df.groupBy(*by).agg(*total).where("_n <> 0") if keys else df.agg(*total)))
+        self._add(name, change, lambda df: (df.groupBy(*by).agg(*total).where("_n <> 0") if keys else df.agg(*total)), live)
         both = change.withColumn("_before", F.lit(0))
         if old is not None:
             both = both.unionByName((z.same_key(old, change.select(*by), list(keys)) if keys else old).withColumn("_before", F.lit(1)))
         before = [F.sum(F.when(F.col("_before") == 1, F.col(f"`{f}`"))).alias(f"_old{f}") for f in fields]
         moved = both.groupBy(*by).agg(*total, *before) if keys else both.agg(*total, *before)
         bad = F.raise_error(F.lit(f"{n.id}: a change takes away a row that is not there")).cast("long")
-        moved = self.version.share(moved.withColumn("_n", F.when(F.col("_n") < 0, bad).otherwise(F.col("_n"))))
-
-        def shown(prefix: str) -> list[Column]:
-            out = []
-            for i, a in enumerate(aggregates):
-                count, total, square = (F.col(f"{prefix}_{x}{i}") for x in "csq")
-                if a.function == "count":
-                    got = F.coalesce(count if a.column else F.col(f"{prefix}_n"), F.lit(0)).cast("long")
-                elif a.function == "sum":
-                    got = F.when(count > 0, total.cast(kinds[f"_s{i}"].dataType))
-                elif a.function == "avg":
-                    got = F.when(count > 0, total / count)
-                else:
-                    spread = F.greatest(F.lit(0.0), square - total * total / F.when(count > 0, count))
-                    got = F.when(count > 1, F.sqrt(spread / F.when(count > 1, count - 1)))
-                out.append(got.alias(a.output))
-            return out
-
-        exists = F.col("_n") > 0 if keys else F.lit(True)
-        existed = F.coalesce(F.col("_old_n"), F.lit(0)) > 0 if keys else F.lit(old is not None)
-        plus = moved.where(exists).select(*by, *shown(""), F.lit(1).cast("long").alias(z.WEIGHT))
-        minus = moved.where(existed).select(*by, *shown("_old"), F.lit(-1).cast("long").alias(z.WEIGHT))
-        return self.settle(plus.unionAll(minus))
+        moved = moved.withColumn("_n", F.when(F.col("_n") < 0, bad).otherwise(F.col("_n")))
+
+        def shown(prefix: str, a: p.Agg) -> Column:
+            i = place[a.output]
+            count, total, square = (F.col(f"{prefix}_{x}{i}") for x in "csq")
+            if a.function == "count":
+                return F.coalesce(count if a.column else F.col(f"{prefix}_n"), F.lit(0)).cast("long")
+            if a.function == "sum":
+                return F.when(count > 0, total.cast(kinds[f"_s{i}"].dataType))
+            if a.function == "avg":
+                return F.when(count > 0, total.cast("double") / count)
+            # n * sum of squares - square of the sum, in whole numbers; in doubles only beyond 38 digits.
+            names = f"{prefix}_c{i}", f"{prefix}_q{i}", f"{prefix}_s{i}"
+            whole = F.expr("try_subtract(try_multiply({0}, cast({1} as decimal(38,0))), try_multiply(cast({2} as decimal(38,0)), cast({2} as decimal(38,0))))".format(*names))
+            spread = F.coalesce(whole.cast("double"), count * square.cast("double") - total.cast("double") * total.cast("double"))
+            return F.when(count > 1, F.sqrt(F.greatest(F.lit(0.0), spread) / F.when(count > 1, count * (count - 1.0))))
+
+        return moved, shown
+
+    def _values(self, name: str, delta: DataFrame, keys: tuple[str, ...], column: str, aggregates: list[p.Agg], live: Column | None) -> DataFrame:
+        """Aggregates of touched groups as they are now, from how often each group has each value."""
+        by, v = [batch.col(k) for k in keys], batch.col(column)
+        fold = lambda df: df.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")).where("_w <> 0")
+        change = self.version.share(fold(delta.select(*by, v.alias("_v"), F.col(z.WEIGHT).alias("_w"))))
+        old = self.store.read(name)
+        self._add(name, change, fold, live)
+        # All groups that the change touches, also where none of its values is new.
+        keyed = self.version.share(delta.select(*by).distinct()) if keys else None
+        both = change
+        if old is not None:
+            both = both.unionByName(z.same_key(old, keyed, list(keys)) if keys else old)
+        if keys:
+            both = both.unionByName(keyed.withColumns({"_v": F.lit(None).cast(change.schema["_v"].dataType), "_w": F.lit(0).cast("long")}))
+        w = F.when(F.col("_v").isNotNull() & (F.col("_w") > 0), F.col("_w"))
+        both = both.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")).withColumn("_w", w)
+        number = F.col("_v").cast("double")
+        if any(a.function == "stddev_samp" for a in aggregates):
+            group = Window.partitionBy(*by) if keys else Window.partitionBy(F.lit(0))
+            both = both.withColumn("_mean", F.sum(number * F.col("_w")).over(group) / F.sum("_w").over(group))
+
+        def made(a: p.Agg) -> Column:
+            w, value = F.col("_w"), F.when(F.col("_w").isNotNull(), F.col("_v"))
+            if a.function in ("min", "max"):
+                return getattr(F, a.function)(value)
+            if a.function == "count_distinct":
+                return F.count(value)
+            if a.function == "sum":
+                return F.sum(value * w)
+            if a.function == "avg":
+                return F.sum(number * w) / F.sum(w)
+            apart = number - F.col("_mean")
+            return F.when(F.sum(w) > 1, F.sqrt(F.sum(apart * apart * w) / F.nullif(F.sum(w) - 1, F.lit(0))))
+
+        out = [made(a).alias(f"_now_{a.output}") for a in aggregates]
+        return both.groupBy(*by).agg(*out) if keys else both.agg(*out)
 
     # -- time -------------------------------------------------------------
 
@@ -304,24 +399,35 @@ class _Push:
             marked = self._late(n, delta, n.time, n.lateness)
             delta = self.settle((marked.where("_late = 0") if n.late_policy == "drop" else marked).drop("_late"))
         delta = delta.where(batch.col(n.time).isNotNull())
+        bound = self._bound(n) if n.ttl is not None else None
         if n.kind == "session":
-            out = self.touched(n, [delta], [list(n.keys)], lambda df: batch.sessions(df, n), whole=not n.keys)
+            out = self.touched(n, [delta], [list(n.keys)], lambda df: batch.sessions(df, n), whole=not n.keys, gave=True)
+            if bound is not None:
+                held = z.add([self.store.read(f"{n.id}.left"), delta])
+                self.version.write(f"{n.id}.left", batch.with_session_end(z.consolidate(held), n).where(F.coalesce(F.col("_end") > bound, F.lit(True))).drop("_end"))
         else:
             rows, keys = batch.windows_of(delta, n), (*n.keys, "w_start", "w_end")
-            if all(a.function in SUMS for a in n.aggregates):
-                out = self.running_sums(n, rows, keys, n.aggregates)
+            live = None if bound is None else F.coalesce(F.col("w_end") > bound, F.lit(True))
+            if live is not None:
+                rows = rows.where(live)  # a window that has been given up does not come back
+            if n.aggregates and not any(a.function == "string_agg" for a in n.aggregates):
+                out = self.running(n, rows, keys, n.aggregates, live)
             else:
-                out = self.touched(n, [rows], [list(keys)], lambda df: batch.aggregate(df, keys, n.aggregates))
-        return out if n.ttl is None else self._expire(n, out)
-
-    def _expire(self, n: p.TimeWindow, out: DataFrame) -> DataFrame:
-        """The change of what is shown once windows that ended before the watermark less ttl are taken out."""
+                out = self.touched(n, [rows], [list(keys)], lambda df: batch.aggregate(df, keys, n.aggregates), gave=True)
+                if live is not None:
+                    self.version.write(f"{n.id}.left", z.consolidate(z.add([self.store.read(f"{n.id}.left"), rows])).where(live))
+        return out if bound is None else self._expire(n, out, bound)
+
+    def _bound(self, n: p.TimeWindow) -> Column:
+        """Windows that end by then are given up: the greatest time less lateness and ttl, which is one number."""
+        top = self.version.pending[f"{n.id}.time"].first()["_max"]
+        return F.lit(None).cast("long") if top is None else F.lit(top - n.lateness - n.ttl).cast("long")
+
+    def _expire(self, n: p.TimeWindow, out: DataFrame, bound: Column) -> DataFrame:
+        """The change of what is shown once windows that are given up are taken out.  What is shown is all that is live."""
         name = f"{n.id}.shown"
         old = self.store.read(name)
-        top = self.version.pending[f"{n.id}.time"]
-        live = z.consolidate(z.add([self.store.read(f"{n.id}.windows"), out]))
-        self.version.append(f"{n.id}.windows", out, z.consolidate)
-        kept = live.crossJoin(F.broadcast(top)).where(F.col("w_end") > F.col("_max") - n.lateness - n.ttl).drop("_max")
+        kept = z.consolidate(z.add([old, out])).where(F.coalesce(F.col("w_end") > bound, F.lit(True)))
         kept = self.version.write(name, self.version.share(kept))
         return self.settle(z.difference(kept, old) if old is not None else kept)
 

@@ -1,4 +1,7 @@
-"""State in versioned folders with a manifest that is put in place by one rename.
+"""State in versioned folders with manifests that are put in place by one rename each.
+
+Manifests are numbered and never changed; the last one is in force.  A writer
+that finds its number taken fails, so two of them never overwrite each other.
 
 A name stands for a list of Parquet folders whose rows add up, so a version
 writes only what it changes and points to folders of earlier versions for the
@@ -37,6 +40,7 @@ class Version:
         self.schemas: dict[str, dict] = dict(store.manifest["schemas"])
         self.pending: dict[str, DataFrame] = {}
         self.held: list[DataFrame] = []
+        self.extra: dict = {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """df takes the place of what the name has had."""
@@ -81,13 +85,21 @@ class StateStore:
     def __init__(self, spark: SparkSession, identity: str, folder: str | None = None) -> None:
         self.spark = spark
         self.folder = Folder(spark, folder or f"{shared_root(spark)}/weirflow-state-{uuid.uuid4().hex}", passing=folder is None)
-        self.manifest = {"identity": identity, "version": 0, "paths": {}, "schemas": {}, "pins": {}, "savepoints": {}}
-        if names := [n for n in self.folder.names() if n.startswith("manifest-")]:
-            held = json.loads(self.folder.read_text(max(names)))
+        #: extra is what callers keep with the state, such as the last epoch; history has the manifest of each version.
+        self.manifest = {"identity": identity, "version": 0, "paths": {}, "schemas": {}, "pins": {}, "savepoints": {}, "extra": {}, "history": {}}
+        self.number = max(self._numbers(), default=0)
+        if self.number:
+            held = self._held(self.number)
             if held["identity"] != identity:
                 raise StateError("the folder holds the state of another plan; build a new one beside it")
             self.manifest = held
 
+    def _numbers(self) -> list[int]:
+        return [int(n[9:]) for n in self.folder.names() if n.startswith("manifest-")]
+
+    def _held(self, number: int) -> dict:
+        return json.loads(self.folder._read(f"manifest-{number:012d}"))
+
     @property
     def version(self) -> int:
         return self.manifest["version"]
@@ -106,10 +118,10 @@ class StateStore:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _manifest(self, version: int) -> dict:
-        name = f"manifest-{version:012d}"
-        if name not in self.folder.names():
+        number = self.manifest["history"].get(str(version))
+        if number is None or number not in self._numbers():
             raise StateError(f"version {version} is not kept")
-        return json.loads(self.folder.read_text(name))
+        return self._held(number)
 
     @contextmanager
     def next_version(self) -> Iterator[Version]:
@@ -117,13 +129,16 @@ class StateStore:
         try:
             yield v  # an exception leaves the manifest, and with it the state, as it was
             v.run()
-            self._commit({**self.manifest, "version": v.number, "paths": v.paths, "schemas": v.schemas})
+            self._commit({**self.manifest, "version": v.number, "paths": v.paths, "schemas": v.schemas, "extra": {**self.manifest["extra"], **v.extra}})
         finally:
             v.close()
 
     def _commit(self, manifest: dict) -> None:
-        self.folder.write_text(f"manifest-{manifest['version']:012d}", json.dumps(manifest, sort_keys=True))
-        self.manifest = manifest
+        number = self.number + 1
+        manifest = {**manifest, "history": {**manifest["history"], str(manifest["version"]): number}}
+        if not self.folder.write_new(f"manifest-{number:012d}", json.dumps(manifest, sort_keys=True)):
+            raise StateError("another writer changed the state at the same time; open it again")
+        self.number, self.manifest = number, manifest
 
     # -- pins, savepoints and retention -------------------------------------
 
@@ -138,27 +153,34 @@ class StateStore:
         self._commit({**self.manifest, "pins": {k: v for k, v in self.manifest["pins"].items() if k != name}})
 
     def savepoint(self, name: str) -> None:
-        self._commit({**self.manifest, "savepoints": {**self.manifest["savepoints"], name: self.version}})
+        """Name the state as it is, with what callers keep beside it."""
+        point = {"version": self.version, "extra": self.manifest["extra"]}
+        self._commit({**self.manifest, "savepoints": {**self.manifest["savepoints"], name: point}})
+
+    def drop_savepoint(self, name: str) -> None:
+        self._commit({**self.manifest, "savepoints": {k: v for k, v in self.manifest["savepoints"].items() if k != name}})
 
     def restore(self, name: str) -> None:
-        """Make the state of a savepoint the one in force, as a new version."""
-        at = self.manifest["savepoints"].get(name)
-        if at is None:
+        """Make the state of a savepoint the one in force, as a new version; what came after it may be applied again."""
+        point = self.manifest["savepoints"].get(name)
+        if point is None:
             raise StateError(f"there is no savepoint {name}")
-        held = self.manifest if at == self.version else self._manifest(at)
-        self._commit({**self.manifest, "version": self.version + 1, "paths": held["paths"], "schemas": held["schemas"]})
+        held = self.manifest if point["version"] == self.version else self._manifest(point["version"])
+        self._commit({**self.manifest, "version": self.version + 1, "paths": held["paths"], "schemas": held["schemas"], "extra": point["extra"]})
 
     def floor(self, keep: int = 1) -> int:
         """The least version that must stay."""
-        return min([self.version - keep + 1, *self.manifest["pins"].values(), *self.manifest["savepoints"].values()])
+        return min([self.version - keep + 1, *self.manifest["pins"].values(), *(s["version"] for s in self.manifest["savepoints"].values())])
 
     def collect_garbage(self, keep: int = 1) -> int:
         """Delete folders that no version from floor() on refers to; returns how many."""
         floor = self.floor(keep)
         names = self.folder.names()
+        stay = {n for v, n in self.manifest["history"].items() if int(v) >= floor} | {self.number}
         manifests = [n for n in names if n.startswith("manifest-")]
-        needed = {x.split("/")[0] for n in manifests if int(n[9:]) >= floor for parts in json.loads(self.folder.read_text(n))["paths"].values() for x in parts}
-        gone = [n for n in names if n == "scratch" or n.startswith("v") and n not in needed] + [n for n in manifests if int(n[9:]) < floor]
+        kept = [self._held(int(n[9:])) for n in manifests if int(n[9:]) in stay]
+        needed = {x.split("/")[0] for m in kept for parts in m["paths"].values() for x in parts}
+        gone = [n for n in names if n == "scratch" or n.startswith("v") and n not in needed] + [n for n in manifests if int(n[9:]) not in stay]
         for n in gone:
             self.folder.delete(n)
         return len(gone)

@@ -6,6 +6,7 @@ A change row has the table's columns, `_sync_op` (0 upsert, 1 delete) and
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -121,17 +122,15 @@ class ChangeLog:
         return sorted(int(n.split("=")[1]) for n in self.folder.names() if n.startswith("commit_seq="))
 
     def append(self, seq: int, changes: DataFrame) -> bool:
-        """False if the commit is there; an error if one before it is not."""
+        """False if the commit is there, or another writer put it there first; an error if one before it is not."""
         held = self.commits()
         if seq in held:
             return False
         if held and seq != held[-1] + 1:
             raise GapError(f"commit {seq} does not follow {held[-1]}")
-        staged = f"_staged_{seq}"
-        self.folder.delete(staged)
+        staged = f"_staged_{uuid.uuid4().hex}"
         changes.write.parquet(self.folder.path(staged))
-        self.folder.rename(staged, f"commit_seq={seq}")
-        return True
+        return self.folder.rename(staged, f"commit_seq={seq}")
 
     def read(self, after: int = 0, upto: int | None = None) -> DataFrame:
         held = [c for c in self.commits() if c > after and (upto is None or c <= upto)]

@@ -24,7 +24,7 @@ class Epochs:
         self.graph = graph
 
     def last(self) -> int:
-        return self.graph.store.manifest.get("epoch", -1)
+        return self.graph.store.manifest["extra"].get("epoch", -1)
 
     def run(self, epoch: int, deltas: dict[str, DataFrame]) -> DataFrame | None:
         """The change of the result; None if the epoch was applied.  One may not be left out."""
@@ -32,14 +32,8 @@ class Epochs:
             return None
         if self.last() >= 0 and epoch != self.last() + 1:
             raise p.PlanError(f"epoch {epoch} does not follow {self.last()}")
-        # The epoch goes into the same manifest as the state, so both are in force or neither is.
-        held = dict(self.graph.store.manifest)
-        self.graph.store.manifest = {**held, "epoch": epoch}
-        try:
-            return self.graph.push(deltas)
-        except BaseException:
-            self.graph.store.manifest = held
-            raise
+        # The epoch goes into the same manifest as the state, so both are in force or neither is; a savepoint has its own.
+        return self.graph.push(deltas, epoch=epoch)
 
 
 def start_stream(
@@ -111,9 +105,15 @@ class Job:
         if self.paused:
             raise p.PlanError(f"{self.name} is paused")
         began = time.monotonic()
-        out = self.graph.push(deltas)
+        # Counted where the push reads them, so that an input is computed once.
+        held = {k: d.persist() for k, d in deltas.items()}
+        try:
+            self.rows_in += sum(d.count() for d in held.values())
+            out = self.graph.push(held)
+        finally:
+            for d in held.values():
+                d.unpersist()
         self.batches += 1
-        self.rows_in += sum(d.count() for d in deltas.values())
         self.seconds.append(time.monotonic() - began)
         return out
 
