@@ -167,3 +167,99 @@ def test_verify(spark):
 def test_consolidate_and_expand(spark):
     df = spark.createDataFrame([("a", 2), ("a", -1), ("b", 1), ("b", -1), (None, 3)], f"k string, {z.WEIGHT} bigint")
     assert sorted(map(str, z.expand(z.consolidate(df)).select(F.coalesce("k", F.lit("-"))).collect())) == sorted(map(str, spark.createDataFrame([("a",), ("-",), ("-",), ("-",)], "`coalesce(k, -)` string").collect()))
+
+
+# -- floating point, expiry, replays ---------------------------------------------
+
+
+def maintained(spark, sql, schema, batches):
+    graph = StreamGraph(compile_sql(spark, sql, {"t": spark.createDataFrame([], schema).schema}), spark)
+    for rows in batches:
+        graph.push({"t": spark.createDataFrame(rows, f"{schema}, {z.WEIGHT} bigint")})
+    return graph
+
+
+def test_floating_point_sums_after_retraction(spark):
+    sql = "SELECT k, SUM(v) AS s, AVG(v) AS a, STDDEV_SAMP(v) AS sd, MIN(v) AS lo, COUNT(DISTINCT v) AS d FROM t GROUP BY k"
+    inf, nan = float("inf"), float("nan")
+    batches = [
+        [("a", 0.1, 1), ("a", 1e17, 1), ("b", 1.0, 1), ("b", inf, 1), ("c", nan, 1), ("c", 2.0, 1), ("d", 5.0, 1)],
+        [("a", 1e17, -1), ("b", inf, -1), ("c", nan, -1), ("d", 5.0, -1)],
+        [("a", 0.3, 1), ("e", None, 1), ("b", 1.0, 1)],
+    ]
+    got = {r["k"]: tuple(r)[1:] for r in maintained(spark, sql, "k string, v double", batches).result().collect()}
+    assert got["a"] == (pytest.approx(0.4), pytest.approx(0.2), pytest.approx(0.1414213562), 0.1, 2)
+    assert got["b"] == (2.0, 1.0, 0.0, 1.0, 1) and got["c"] == (2.0, 2.0, None, 2.0, 1) and got["e"] == (None, None, None, None, 0)
+    assert set(got) == {"a", "b", "c", "e"}
+    total = maintained(spark, "SELECT SUM(v) AS s, COUNT(*) AS n FROM t", "k string, v double", batches)
+    assert [tuple(r) for r in total.result().collect()] == [(pytest.approx(4.4), 6)]
+
+
+def test_random_floats(spark):
+    """Every result row of before is taken away as it was shown."""
+    rng, live, batches = random.Random(3), [], []
+    for _ in range(5):
+        rows = [(rng.choice("xyz"), rng.choice([0.1, 0.2, 0.7, 1e15, rng.random()]), 1) for _ in range(12)]
+        gone = [live.pop(rng.randrange(len(live))) for _ in range(5)] if live else []
+        live += rows
+        batches.append(rows + [(k, v, -1) for k, v, _ in gone])
+    sql = "SELECT k, SUM(v) AS s, AVG(v) AS a, COUNT(*) AS n FROM t GROUP BY k"
+    got = {r["k"]: r for r in maintained(spark, sql, "k string, v double", batches).result().collect()}
+    for k in "xyz":
+        own = [v for g, v, _ in live if g == k]
+        assert got[k]["s"] == pytest.approx(sum(own)) and got[k]["a"] == pytest.approx(sum(own) / len(own)) and got[k]["n"] == len(own)
+    assert set(got) == {k for k, _, _ in live}
+
+
+def test_exact_spread_of_whole_numbers(spark):
+    rows = [("a", 2_000_000_000 + i, 1) for i in range(4)]
+    got = maintained(spark, "SELECT STDDEV_SAMP(v) AS sd, AVG(v) AS a FROM t", "k string, v int", [rows, [("a", 7, 1)], [("a", 7, -1)]]).result().first()
+    assert got["sd"] == pytest.approx(1.2909944487) and got["a"] == 2_000_000_001.5
+
+
+@pytest.mark.parametrize("kind", ["tumble", "session"])
+@pytest.mark.parametrize("function", ["count", "max", "string_agg"])
+def test_expired_windows_leave_the_state(spark, kind, function):
+    lengths = {"size": 10} if kind == "tumble" else {"gap": 5}
+    agg = p.Agg("x", function, None if function == "count" else "v", order=(p.Order("v"),) if function == "string_agg" else ())
+    graph = StreamGraph(p.Plan((p.Input("i", "e"), p.TimeWindow("w", "i", kind, "ts", ttl=20, aggregates=(agg,), **lengths)), "w"), spark)
+    for t in range(0, 400, 40):
+        graph.push({"e": spark.createDataFrame([(t, 1, 1), (t + 1, 2, 1)], f"ts bigint, v bigint, {z.WEIGHT} bigint")})
+    graph.push({"e": spark.createDataFrame([(3, 9, 1)], f"ts bigint, v bigint, {z.WEIGHT} bigint")})
+    (row,) = graph.result().collect()
+    assert row["x"] == {"count": 2, "max": 2, "string_agg": "1,2"}[function] and row["w_start"] == 360
+    for name in graph.store.manifest["paths"]:
+        if name.startswith("w."):
+            assert graph.store.read(name).count() <= 3, name
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    schema = {"orders": spark.createDataFrame([], ORDERS).schema}
+    plan = compile_sql(spark, "SELECT status, COUNT(*) AS n FROM orders GROUP BY status", schema)
+    one, two = StreamGraph(plan, spark, str(tmp_path)), StreamGraph(plan, spark, str(tmp_path))
+    one.push({"orders": orders(spark, (1, "open", 5, 1, 1))})
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.push({"orders": orders(spark, (2, "hold", 5, 1, 1))})
+    assert [tuple(r) for r in StreamGraph(plan, spark, str(tmp_path)).result().collect()] == [("open", 1)]
+
+
+def test_a_crash_between_any_two_file_operations(spark, tmp_path, monkeypatch):
+    """Whatever is cut off, the folder opens with the state of before or after, savepoints and pins included."""
+    from weirflow.sources.folders import Folder
+
+    schema = {"orders": spark.createDataFrame([], ORDERS).schema}
+    plan = compile_sql(spark, "SELECT id FROM orders", schema)
+    graph = StreamGraph(plan, spark, str(tmp_path))
+    graph.push({"orders": orders(spark, (1, "a", 1, 1, 1))})
+    graph.store.savepoint("one")
+    steps = [lambda g: g.push({"orders": orders(spark, (2, "a", 1, 1, 1))}), lambda g: g.store.savepoint("two"), lambda g: g.store.pin("p")]
+    for step in steps:
+        for broken in ("write_new", "rename"):
+            with monkeypatch.context() as m:
+                m.setattr(Folder, broken, lambda *a: (_ for _ in ()).throw(OSError("cut off")))
+                with pytest.raises(OSError):
+                    step(StreamGraph(plan, spark, str(tmp_path)))
+            again = StreamGraph(plan, spark, str(tmp_path))
+            assert [r[0] for r in again.result().collect()] == [1] and "one" in again.store.manifest["savepoints"]
+    again.store.restore("one")
+    assert [r[0] for r in again.result().collect()] == [1]

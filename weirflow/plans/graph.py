@@ -174,7 +174,7 @@ class _Push:
 
     # -- what shares a key with the change ---------------------------------
 
-    def touched(self, n: p.Node, deltas: list[Delta], keys: list[list[str]], fn: Callable, whole: bool = False, gave: bool = False) -> Delta:
+    def touched(self, n: p.Node, deltas: list[Delta], keys: list[list[str]], fn: Callable, whole: bool = False, gave: bool = False, live: Column | None = None) -> Delta:
         """fn over the rows whose keys a change touches, after and before.  keys: for each input its columns, in the same order.
 
         With `gave`, what fn gave before is kept, by the keys of the one input, and not computed again.
@@ -192,7 +192,7 @@ class _Push:
         bag = lambda df: z.expand(z.checked(z.consolidate(df), n.id))
         new = [bag(cut(s, ks)) for (_, s), ks in zip(held, keys, strict=True)]
         if gave:
-            return self._instead(n, z.weighted(fn(*new)), None if whole else touched, [] if whole else keys[0])
+            return self._instead(n, z.weighted(fn(*new)), None if whole else touched, [] if whole else keys[0], live)
         old = [bag(cut(s if s is not None else t.limit(0), ks)) for (s, t), ks in zip(held, keys, strict=True)]
         return self.settle(z.difference(z.weighted(fn(*new)), z.weighted(fn(*old))))
 
@@ -401,7 +401,8 @@ class _Push:
         delta = delta.where(batch.col(n.time).isNotNull())
         bound = self._bound(n) if n.ttl is not None else None
         if n.kind == "session":
-            out = self.touched(n, [delta], [list(n.keys)], lambda df: batch.sessions(df, n), whole=not n.keys, gave=True)
+            live = None if bound is None else F.coalesce(F.col("w_end") > bound, F.lit(True))
+            out = self.touched(n, [delta], [list(n.keys)], lambda df: batch.sessions(df, n), whole=not n.keys, gave=True, live=live)
             if bound is not None:
                 held = z.add([self.store.read(f"{n.id}.left"), delta])
                 self.version.write(f"{n.id}.left", batch.with_session_end(z.consolidate(held), n).where(F.coalesce(F.col("_end") > bound, F.lit(True))).drop("_end"))
@@ -413,7 +414,7 @@ class _Push:
             if n.aggregates and not any(a.function == "string_agg" for a in n.aggregates):
                 out = self.running(n, rows, keys, n.aggregates, live)
             else:
-                out = self.touched(n, [rows], [list(keys)], lambda df: batch.aggregate(df, keys, n.aggregates), gave=True)
+                out = self.touched(n, [rows], [list(keys)], lambda df: batch.aggregate(df, keys, n.aggregates), gave=True, live=live)
                 if live is not None:
                     self.version.write(f"{n.id}.left", z.consolidate(z.add([self.store.read(f"{n.id}.left"), rows])).where(live))
         return out if bound is None else self._expire(n, out, bound)
