@@ -54,24 +54,27 @@ def change_delta(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFr
 
 
 class KeyedMirror:
-    """The rows of a keyed table, and what change batches do to them as weighted rows."""
+    """The rows of a keyed table, and what change batches do to them as weighted rows, which is all that a batch writes."""
 
     def __init__(self, keys: list[str], spark: SparkSession, folder: str | None = None) -> None:
         self.keys, self.spark = keys, spark
         self.store = StateStore(spark, f"mirror:{','.join(keys)}", folder)
 
     def snapshot(self) -> DataFrame | None:
-        return self.store.read("rows")
+        held = self.store.read("rows")
+        return None if held is None else z.expand(z.consolidate(held))
 
     def apply(self, changes: DataFrame) -> DataFrame:
-        rows = changes.drop(OP, ORDER)
-        base = self.store.read("rows")
-        base = rows.limit(0) if base is None else base
-        if not missing_deletes(base, changes, self.keys).isEmpty():
-            raise z.IntegrityError("a change deletes a key that is not there")
+        rows, held = changes.drop(OP, ORDER), self.store.read("rows")
+        keys = changes.select(*[F.col(f"`{k}`") for k in self.keys]).distinct()
         with self.store.next_version() as v:
-            delta = v.write("delta", change_delta(base, changes, self.keys))
-            v.write("rows", apply_changes(base, changes, self.keys))
+            # The touched rows alone, read once.
+            base = rows.limit(0) if held is None else v.share(z.consolidate(z.same_key(held, keys, self.keys)).drop(z.WEIGHT))
+            if not missing_deletes(base, changes, self.keys).isEmpty():
+                raise z.IntegrityError("a change deletes a key that is not there")
+            delta = v.share(change_delta(base, changes, self.keys))
+            v.write("delta", delta)
+            v.append("rows", delta, z.consolidate)
         return self.store.read("delta")
 
 
@@ -147,7 +150,7 @@ class ChangeLog:
                 self.folder.delete(f"commit_seq={c}")
 
 
-def decode_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+def decode_lines(lines: DataFrame, column: str = "value", *more: str) -> DataFrame:
     """Lines of a logical-decoding text feed as (relation, op, fields): `table s.t: INSERT: id[int]:1 name[text]:'x'`."""
     head = r"^table ([^:]+): (INSERT|UPDATE|DELETE): ?(.*)$"
     body = F.regexp_extract(column, head, 3)
@@ -160,9 +163,34 @@ def decode_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         F.regexp_extract(column, head, 1).alias("relation"),
         F.when(F.regexp_extract(column, head, 2) == "DELETE", DELETE).otherwise(UPSERT).alias(OP),
         F.map_from_arrays(pairs, clean).alias("fields"),
+        *more,
     )
 
 
+def decoded_changes(lines: DataFrame, relation: str, schema: str, order: str, column: str = "value") -> DataFrame:
+    """The changes of one table in a logical-decoding feed, typed by a schema in DDL; `order` is the feed's own sequence."""
+    said = decode_lines(lines.select(F.col(column).alias("value"), F.col(order).alias("_order")), "value", "_order")
+    fields = lines.sparkSession.createDataFrame([], schema).schema.fields
+    typed = [F.try_element_at("fields", F.lit(f.name)).cast(f.dataType).alias(f.name) for f in fields]
+    return said.where(F.col("relation") == relation).select(*typed, OP, F.col("_order").cast("long").alias(ORDER))
+
+
+def snapshot_rows(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    r"""Rows of a text snapshot: fields between tabs, \N for null, and backslashes before tabs, line ends and themselves."""
+    options = {"sep": "\t", "nullValue": "\\N", "quote": "\0", "escape": "\0", "mode": "FAILFAST"}
+    plain = ", ".join(f"`{f.name}` string" for f in lines.sparkSession.createDataFrame([], schema).schema.fields)
+    fields = lines.sparkSession.createDataFrame([], schema).schema.fields
+    # Escaped backslashes stand aside first, so that a letter after one is not taken for an escape.
+    held = F.from_csv(F.replace(F.col(column), F.lit("\\\\"), F.lit("\1")), plain, options)
+
+    def plain_text(c: Column) -> Column:
+        for said, means in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\1", "\\")):
+            c = F.replace(c, F.lit(said), F.lit(means))
+        return c
+
+    return lines.select(held.alias("r")).select(*[plain_text(F.col(f"r.`{f.name}`")).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def unapplied(changes: DataFrame, applied: DataFrame, identity: tuple[str, ...] = ("server", "gtid")) -> DataFrame:
     """Changes of transactions that have not been applied, once each."""
     cols = list(identity)

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DataType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType
@@ -25,7 +26,10 @@ class UnsupportedConnector(LookupError):
 
 
 class UpsertSink:
-    """A keyed target in a folder.  Weighted rows are applied by key: what is left at a positive weight is the row."""
+    """A keyed target in a folder.  Weighted rows are applied by key: what is left at a positive weight is the row.
+
+    A delivery writes what it changes: its rows, and the ones that they take the place of with weight -1.
+    """
 
     def __init__(self, spark: SparkSession, keys: list[str], folder: str | None = None) -> None:
         self.keys, self.store = keys, StateStore(spark, f"sink:{','.join(keys)}", folder)
@@ -36,21 +40,22 @@ class UpsertSink:
         if done is not None and not done.where(F.col("id") == delivery).isEmpty():
             return False
         rows = z.weighted(rows)
-        new = rows.where(F.col(z.WEIGHT) > 0).drop(z.WEIGHT)
-        gone = rows.where(F.col(z.WEIGHT) < 0).select(*self.keys)
+        new = rows.where(F.col(z.WEIGHT) > 0).withColumn(z.WEIGHT, F.lit(1).cast("long"))
         held = self.store.read("rows")
-        held = new.limit(0) if held is None else held
-        touched = gone.unionAll(new.select(*self.keys)).distinct()
-        stay = held.join(touched, changelog._on(held, touched, self.keys), "left_anti")
+        if held is not None:
+            keys = [F.col(f"`{k}`") for k in self.keys]
+            there = z.consolidate(z.same_key(held, rows.select(*keys).distinct(), self.keys))
+            new = z.difference(new, there)
         spark = rows.sparkSession
         with self.store.next_version() as v:
-            v.write("rows", stay.unionByName(new))
+            v.append("rows", new, z.consolidate)
             one = spark.range(1).select(F.lit(delivery).alias("id"), F.lit(v.number).cast("long").alias("version"))
-            v.write("deliveries", one if done is None else done.unionAll(one))
+            v.append("deliveries", one, lambda df: df)
         return True
 
     def read(self) -> DataFrame | None:
-        return self.store.read("rows")
+        held = self.store.read("rows")
+        return None if held is None else z.expand(z.consolidate(held))
 
     def count(self) -> int:
         held = self.read()
@@ -95,7 +100,7 @@ class FormatSink:
                 return False
             rows.withColumn("delivery_id", F.lit(delivery)).write.format(self.format).options(**self.options).mode("append").save()
         except Exception as e:
-            if "DATA_SOURCE_NOT_FOUND" in str(e):
+            if isinstance(e, PySparkException) and e.getCondition() == "DATA_SOURCE_NOT_FOUND":
                 raise UnsupportedConnector(f"the data source {self.format} is not on the class path") from e
             raise
         return True

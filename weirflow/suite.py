@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow import suite_features as more
 from weirflow.functions import text
 from weirflow.functions.udf import UdfRegistry, macro
 from weirflow.operators import batch
@@ -135,7 +136,7 @@ BATCH: dict[str, str] = {
     "join_theta": "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey > b.n_regionkey",
     "join_theta_left": "SELECT r_regionkey, n_nationkey FROM region LEFT JOIN nation ON n_nationkey > r_regionkey * 6",
     "join_multi": "SELECT r_name, COUNT(*) AS n FROM region, nation, customer, orders WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey GROUP BY r_name",
-    "join_self": "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_custkey < 200",
+    "join_self": "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey",
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_using": "SELECT COUNT(*) AS n FROM (SELECT o_custkey AS k FROM orders) a JOIN (SELECT c_custkey AS k FROM customer) b USING (k)",
     "join_expr_key": "SELECT COUNT(*) AS n FROM orders JOIN supplier ON o_custkey % 100 = s_suppkey - 1",
@@ -424,6 +425,12 @@ APIS: dict[str, tuple[Query, str]] = {
 }
 
 
+BATCH |= more.SHAPES
+MAINTAINED |= more.MAINTAINED_SHAPES | {f"inc_{k}": in_braces(BATCH[k]) for k in more.ALSO_MAINTAINED}
+APIS |= more.APIS | {k: (run_sql(ours), theirs) for k, (ours, theirs) in more.PAIRS.items()}
+APIS |= {k: (maintain(ours, dialect="mysql"), theirs) for k, (ours, theirs) in more.MAINTAINED_PAIRS.items()}
+
+
 def queries() -> dict[str, Query]:
     return {k: q for k, (q, _) in APIS.items()} | {k: run_sql(s) for k, s in BATCH.items()} | {k: maintain(s) for k, s in MAINTAINED.items()}
 
