@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,8 +100,9 @@ class FormatSink:
             if not held.where(F.col("delivery_id") == delivery).isEmpty():
                 return False
             rows.withColumn("delivery_id", F.lit(delivery)).write.format(self.format).options(**self.options).mode("append").save()
-        except Exception as e:
-            if isinstance(e, PySparkException) and e.getCondition() == "DATA_SOURCE_NOT_FOUND":
+        except (PySparkException, Py4JJavaError) as e:
+            said = e if isinstance(e, PySparkException) else e.java_exception
+            if getattr(said, "getCondition", lambda: None)() == "DATA_SOURCE_NOT_FOUND":
                 raise UnsupportedConnector(f"the data source {self.format} is not on the class path") from e
             raise
         return True
