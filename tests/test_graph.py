@@ -263,3 +263,53 @@ def test_a_crash_between_any_two_file_operations(spark, tmp_path, monkeypatch):
             assert [r[0] for r in again.result().collect()] == [1] and "one" in again.store.manifest["savepoints"]
     again.store.restore("one")
     assert [r[0] for r in again.result().collect()] == [1]
+
+
+@pytest.mark.parametrize("shape", ["values", "left", "intersect"])
+def test_bucketed_state_gives_the_same(spark, shape, monkeypatch):
+    """Every fold is laid out in buckets, and pushes read the touched ones."""
+    from weirflow.plans.state import Version
+
+    monkeypatch.setattr(Version, "BUCKET_BYTES", 0)
+    monkeypatch.setattr(Version, "MOST_PARTS", 1)
+    monkeypatch.setattr(Version, "BUCKETS", 4)
+    test_random_changes(spark, shape)
+
+
+def test_a_small_push_reads_only_its_buckets(spark, monkeypatch):
+    from weirflow.plans.state import StateStore, Version
+
+    monkeypatch.setattr(Version, "BUCKET_BYTES", 0)
+    monkeypatch.setattr(Version, "MOST_PARTS", 1)
+    schema = {"t": spark.createDataFrame([], "k bigint, v bigint").schema}
+    graph = StreamGraph(compile_sql(spark, "SELECT k, MAX(v) AS m, COUNT(*) AS n FROM t GROUP BY k", schema), spark)
+    many = spark.range(2000).selectExpr("id AS k", "id AS v")
+    for _ in range(3):
+        graph.push({"t": many})
+    assert graph.store.manifest["bucketed"]
+    seen, real = {}, StateStore.read
+
+    def read(self, name, version=None, touched=None, keys=None):
+        out = real(self, name, version, touched, keys)
+        if touched is not None and out is not None:
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(StateStore, "read", read)
+    graph.push({"t": spark.createDataFrame([(5, 9000)], "k bigint, v bigint")})
+    assert len(seen) >= 2 and max(seen.values()) < 2000 * 4 / 10
+    monkeypatch.undo()
+    assert [tuple(r) for r in graph.result().where("k = 5").collect()] == [(5, 9000, 4)] and graph.result().count() == 2000
+
+
+def test_rows_that_only_come_leave_the_table_unread(spark, monkeypatch):
+    node = p.TopN("t", "i", (p.Order("v", True),), 2, ("k",))
+    graph = StreamGraph(p.Plan((p.Input("i", "e"), node), "t"), spark)
+    rows = lambda *xs: spark.createDataFrame(list(xs), f"k string, v bigint, {z.WEIGHT} bigint")
+    graph.push({"e": rows(("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("b", 1, 1))})
+    real, asked = graph.store.read, []
+    monkeypatch.setattr(graph.store, "read", lambda name, *a, **o: (asked.append(name), real(name, *a, **o))[1])
+    graph.push({"e": rows(("a", 9, 1), ("a", 0, 1), ("c", 5, 2))})
+    assert "t.left" not in asked
+    graph.push({"e": rows(("a", 9, -1), ("c", 5, -1))})
+    assert sorted(tuple(r) for r in graph.result().collect()) == [("a", 2), ("a", 3), ("b", 1), ("c", 5)]

@@ -21,7 +21,7 @@ What a push reads of the state are the rows that share a key with the change.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -109,13 +109,15 @@ class _Push:
     def __init__(self, graph: StreamGraph, deltas: dict[str, DataFrame], version: Version) -> None:
         self.graph, self.spark, self.store, self.deltas, self.version = graph, graph.spark, graph.store, deltas, version
 
-    def hold(self, node: p.Node, side: str, delta: Delta) -> tuple[Delta, Delta]:
-        """(old, new) whole input of a node, not consolidated; the change is added to the state."""
+    def hold(self, node: p.Node, side: str, delta: Delta, touched: DataFrame | None = None, keys: list[str] | None = None) -> tuple[Delta, Delta]:
+        """(old, new) input of a node, not consolidated: all of it, or the rows with touched keys; the change is added to the state."""
         name = f"{node.id}.{side}"
-        old = self.store.read(name)
+        old = self.store.read(name, touched=touched, keys=keys)
+        if old is not None and touched is not None:
+            old = z.same_key(old, touched, keys)
         if delta is None:
             return old, old
-        self.version.append(name, delta, z.consolidate)
+        self.version.append(name, delta, z.consolidate, keys)
         return old, z.add([old, delta])
 
     def settle(self, delta: Delta) -> Delta:
@@ -179,21 +181,19 @@ class _Push:
 
         With `gave`, what fn gave before is kept, by the keys of the one input, and not computed again.
         """
-        held = [self.hold(n, side, d) for side, d in zip(("left", "right"), deltas, strict=False)]
-        if any(new is None for _, new in held) or all(d is None for d in deltas):
-            return None
-        if not whole:
+        touched = None
+        if not whole and any(d is not None for d in deltas):
             names = [f"_t{i}" for i in range(len(keys[0]))]
             parts = [d.select(*[batch.col(k).alias(t) for k, t in zip(ks, names, strict=True)]) for d, ks in zip(deltas, keys, strict=True) if d is not None]
-            touched = reduce(DataFrame.unionAll, parts).distinct()
-            cut = lambda df, ks: z.same_key(df, touched, ks)
-        else:
-            cut = lambda df, ks: df
+            touched = self.version.share(reduce(DataFrame.unionAll, parts).distinct())
+        held = [self.hold(n, side, d, touched, None if whole else ks) for side, d, ks in zip(("left", "right"), deltas, keys, strict=False)]
+        if any(new is None for _, new in held) or all(d is None for d in deltas):
+            return None
         bag = lambda df: z.expand(z.checked(z.consolidate(df), n.id))
-        new = [bag(cut(s, ks)) for (_, s), ks in zip(held, keys, strict=True)]
+        new = [bag(s) for _, s in held]
         if gave:
             return self._instead(n, z.weighted(fn(*new)), None if whole else touched, [] if whole else keys[0], live)
-        old = [bag(cut(s if s is not None else t.limit(0), ks)) for (s, t), ks in zip(held, keys, strict=True)]
+        old = [bag(s if s is not None else t.limit(0)) for s, t in held]
         return self.settle(z.difference(z.weighted(fn(*new)), z.weighted(fn(*old))))
 
     def on_distinct(self, n: p.Distinct, delta: Delta) -> Delta:
@@ -220,8 +220,20 @@ class _Push:
         return self.touched(n, [delta], [list(n.partition)], lambda df: batch.over(df, n.outputs), whole=not n.partition) if delta is not None else None
 
     def on_topn(self, n: p.TopN, delta: Delta) -> Delta:
+        if delta is None:
+            return None
         fn = lambda df: batch.top_n(df, n.order, n.limit, n.partition)
-        return self.touched(n, [delta], [list(n.partition)], fn, whole=not n.partition) if delta is not None else None
+        keys, name = list(n.partition), f"{n.id}.gave"
+        held = self.store.read(name)
+        if held is not None:
+            delta = self.settle(delta)
+            if delta.where(F.col(z.WEIGHT) < 0).isEmpty():
+                # Rows that only come can push rows out of what is shown, and nothing else of the state matters.
+                self.version.append(f"{n.id}.left", delta, z.consolidate, keys or None)
+                touched = delta.select(*[batch.col(k) for k in keys]).distinct() if keys else None
+                shown = z.consolidate(z.same_key(held, touched, keys) if keys else held)
+                return self._instead(n, z.weighted(fn(z.expand(z.add([shown, delta])))), touched, keys)
+        return self.touched(n, [delta], [keys], fn, whole=not keys, gave=True)
 
     # -- aggregates -------------------------------------------------------
 
@@ -269,17 +281,17 @@ class _Push:
         What was shown is kept and not computed again: floating-point numbers need not come out the same twice.
         """
         name = f"{n.id}.gave"
-        old = self.store.read(name)
+        old = self.store.read(name, touched=touched if keys else None, keys=keys)
         if old is not None and keys:
             old = z.same_key(old, touched, keys)
         out = self.settle(z.difference(new, old))
-        self._add(name, out, z.consolidate, live)
+        self._add(name, out, z.consolidate, live, keys)
         return out
 
-    def _add(self, name: str, change: DataFrame, fold: Callable, live: Column | None) -> None:
+    def _add(self, name: str, change: DataFrame, fold: Callable, live: Column | None, keys: Sequence[str] = ()) -> None:
         """Add a change to state that adds up; with `live`, what is not goes at once."""
         if live is None:
-            self.version.append(name, change, fold)
+            self.version.append(name, change, fold, list(keys) or None)
         else:
             self.version.write(name, fold(z.add([self.store.read(name), change])).where(live))
 
@@ -299,13 +311,13 @@ class _Push:
                 sums.append(F.sum(c.cast("long") * c.cast("long") * w.cast("decimal(18,0)")).alias(f"_q{i}"))
         by = [batch.col(k) for k in keys]
         name = f"{n.id}.sums"
-        old = self.store.read(name)
         change = self.version.share(delta.groupBy(*by).agg(*sums) if keys else delta.agg(*sums))
+        old = self.store.read(name, touched=change.select(*by), keys=list(keys)) if keys else self.store.read(name)
         kinds = change.schema
         fields = [c for c in change.columns if c not in keys]
         total = [F.sum(f"`{f}`").cast(kinds[f].dataType).alias(f) for f in fields]
         # Sums add up, so the change itself is what the state takes.
-        self._add(name, change, lambda df: (df.groupBy(*by).agg(*total).where("_n <> 0") if keys else df.agg(*total)), live)
+        self._add(name, change, lambda df: (df.groupBy(*by).agg(*total).where("_n <> 0") if keys else df.agg(*total)), live, keys)
         both = change.withColumn("_before", F.lit(0))
         if old is not None:
             both = both.unionByName((z.same_key(old, change.select(*by), list(keys)) if keys else old).withColumn("_before", F.lit(1)))
@@ -336,10 +348,10 @@ class _Push:
         by, v = [batch.col(k) for k in keys], batch.col(column)
         fold = lambda df: df.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")).where("_w <> 0")
         change = self.version.share(fold(delta.select(*by, v.alias("_v"), F.col(z.WEIGHT).alias("_w"))))
-        old = self.store.read(name)
-        self._add(name, change, fold, live)
         # All groups that the change touches, also where none of its values is new.
         keyed = self.version.share(delta.select(*by).distinct()) if keys else None
+        old = self.store.read(name, touched=keyed, keys=list(keys))
+        self._add(name, change, fold, live, keys)
         both = change
         if old is not None:
             both = both.unionByName(z.same_key(old, keyed, list(keys)) if keys else old)

@@ -5,7 +5,9 @@ that finds its number taken fails, so two of them never overwrite each other.
 
 A name stands for a list of Parquet folders whose rows add up, so a version
 writes only what it changes and points to folders of earlier versions for the
-rest.  Readers pin a version; versions below the least of the pins and of what
+rest.  Once many are folded into a large one, that is laid out in buckets by the
+hash of the keys, and a reader that names the keys it wants reads those buckets
+and the small folders that came since.  Readers pin a version; versions below the least of the pins and of what
 is to be kept are deleted.
 """
 
@@ -16,10 +18,12 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, IntegerType, StructField, StructType
 
 from weirflow.sources.folders import Folder, shared_root
 
@@ -28,11 +32,15 @@ class StateError(RuntimeError):
     """The state folder belongs to another plan or lacks a version."""
 
 
+def bucket(df: DataFrame, keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(Version.BUCKETS)).cast("int")
+
+
 class Version:
     """What a push writes.  Writes are gathered and run side by side when the version is committed."""
 
-    #: Folders that a name may have before they are folded into one.
-    MOST_PARTS = 8
+    #: Folders that a name may have before they are folded into one, the bytes from which that is bucketed, and buckets.
+    MOST_PARTS, BUCKET_BYTES, BUCKETS = 8, 16 << 20, 64
 
     def __init__(self, store: StateStore, number: int) -> None:
         self.store, self.number = store, number
@@ -41,15 +49,21 @@ class Version:
         self.pending: dict[str, DataFrame] = {}
         self.held: list[DataFrame] = []
         self.extra: dict = {}
+        self.bucketed: dict[str, list[str]] = dict(store.manifest.get("bucketed", {}))
+        self.by: dict[str, list[str]] = {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """df takes the place of what the name has had."""
         self.paths[name] = []
         return self._later(name, df)
 
-    def append(self, name: str, df: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> None:
-        """df adds to what the name has; fold makes one collection of many parts."""
+    def append(self, name: str, df: DataFrame, fold: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> None:
+        """df adds to what the name has; fold makes one collection of many parts, in buckets by the keys if it is large."""
         if len(self.paths.get(name, ())) >= self.MOST_PARTS:
+            kinds = [df.schema[k].dataType for k in keys or ()]
+            # Equal floating-point keys may have different bits, and so different hashes.
+            if keys and not any(isinstance(t, (FloatType, DoubleType)) for t in kinds) and self.store.size(name) >= self.BUCKET_BYTES:
+                self.by[name] = keys
             self.write(name, fold(self.store.read(name).unionByName(df)))
         else:
             self.paths.setdefault(name, [])
@@ -69,12 +83,21 @@ class Version:
         folder = f"v{self.number:012d}-{uuid.uuid4().hex[:8]}"
 
         def one(name: str) -> None:
-            self.pending[name].write.parquet(self.store.folder.path(f"{folder}/{name}"))
+            df, path = self.pending[name], self.store.folder.path(f"{folder}/{name}")
+            if name in self.by:
+                df = df.withColumn("_b", bucket(df, self.by[name])).repartition(self.BUCKETS, "_b")
+                df.write.partitionBy("_b").parquet(path)
+            else:
+                df.write.parquet(path)
 
         with ThreadPoolExecutor(max(1, min(6, len(self.pending)))) as pool:
             list(pool.map(one, self.pending))
         for name in self.pending:
             self.paths[name].append(f"{folder}/{name}")
+            if name in self.by:
+                self.bucketed[f"{folder}/{name}"] = self.by[name]
+        used = {x for parts in self.paths.values() for x in parts}
+        self.bucketed = {k: v for k, v in self.bucketed.items() if k in used}
 
     def close(self) -> None:
         for df in self.held:
@@ -104,13 +127,30 @@ class StateStore:
     def version(self) -> int:
         return self.manifest["version"]
 
-    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+    def size(self, name: str) -> int:
+        """Bytes of all that a name has."""
+        return sum(self.folder.size(x) for x in self.manifest["paths"].get(name, ()))
+
+    def read(self, name: str, version: int | None = None, touched: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame | None:
+        """What a name has.  With touched, a frame of the key columns, it may be less, but has all rows with such keys."""
         held = self.manifest if version is None or version == self.version else self._manifest(version)
         paths = held["paths"].get(name)
         if not paths:
             return None
         schema = StructType.fromJson(held["schemas"][name])
-        return self.spark.read.schema(schema).parquet(*map(self.folder.path, paths))
+        said = held.get("bucketed", {})
+        plain = [x for x in paths if x not in said]
+        parts = [self.spark.read.schema(schema).parquet(*map(self.folder.path, plain))] if plain else []
+        for x in paths:
+            if x not in said:
+                continue
+            df = self.spark.read.schema(StructType([*schema.fields, StructField("_b", IntegerType())])).parquet(self.folder.path(x))
+            if touched is not None and keys == said[x]:
+                own = touched.toDF(*keys).select(*[F.col(f"`{k}`").try_cast(schema[k].dataType).alias(k) for k in keys])
+                wanted = [r[0] for r in own.select(bucket(own, keys)).distinct().collect()]  # at most BUCKETS numbers
+                df = df.where(F.col("_b").isin(wanted))
+            parts.append(df.drop("_b"))
+        return reduce(DataFrame.unionByName, parts)
 
     def scratch(self, df: DataFrame) -> DataFrame:
         path = self.folder.path(f"scratch/{uuid.uuid4().hex}")
@@ -129,7 +169,7 @@ class StateStore:
         try:
             yield v  # an exception leaves the manifest, and with it the state, as it was
             v.run()
-            self._commit({**self.manifest, "version": v.number, "paths": v.paths, "schemas": v.schemas, "extra": {**self.manifest["extra"], **v.extra}})
+            self._commit({**self.manifest, "version": v.number, "paths": v.paths, "schemas": v.schemas, "bucketed": v.bucketed, "extra": {**self.manifest["extra"], **v.extra}})
         finally:
             v.close()
 
@@ -166,7 +206,7 @@ class StateStore:
         if point is None:
             raise StateError(f"there is no savepoint {name}")
         held = self.manifest if point["version"] == self.version else self._manifest(point["version"])
-        self._commit({**self.manifest, "version": self.version + 1, "paths": held["paths"], "schemas": held["schemas"], "extra": point["extra"]})
+        self._commit({**self.manifest, "version": self.version + 1, "paths": held["paths"], "schemas": held["schemas"], "bucketed": held.get("bucketed", {}), "extra": point["extra"]})
 
     def floor(self, keep: int = 1) -> int:
         """The least version that must stay."""

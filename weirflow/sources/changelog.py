@@ -65,8 +65,9 @@ class KeyedMirror:
         return None if held is None else z.expand(z.consolidate(held))
 
     def apply(self, changes: DataFrame) -> DataFrame:
-        rows, held = changes.drop(OP, ORDER), self.store.read("rows")
+        rows = changes.drop(OP, ORDER)
         keys = changes.select(*[F.col(f"`{k}`") for k in self.keys]).distinct()
+        held = self.store.read("rows", touched=keys, keys=self.keys)
         with self.store.next_version() as v:
             # The touched rows alone, read once.
             base = rows.limit(0) if held is None else v.share(z.consolidate(z.same_key(held, keys, self.keys)).drop(z.WEIGHT))
@@ -74,7 +75,7 @@ class KeyedMirror:
                 raise z.IntegrityError("a change deletes a key that is not there")
             delta = v.share(change_delta(base, changes, self.keys))
             v.write("delta", delta)
-            v.append("rows", delta, z.consolidate)
+            v.append("rows", delta, z.consolidate, self.keys)
         return self.store.read("delta")
 
 

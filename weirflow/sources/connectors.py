@@ -42,14 +42,14 @@ class UpsertSink:
             return False
         rows = z.weighted(rows)
         new = rows.where(F.col(z.WEIGHT) > 0).withColumn(z.WEIGHT, F.lit(1).cast("long"))
-        held = self.store.read("rows")
+        keys = rows.select(*[F.col(f"`{k}`") for k in self.keys]).distinct()
+        held = self.store.read("rows", touched=keys, keys=self.keys)
         if held is not None:
-            keys = [F.col(f"`{k}`") for k in self.keys]
-            there = z.consolidate(z.same_key(held, rows.select(*keys).distinct(), self.keys))
+            there = z.consolidate(z.same_key(held, keys, self.keys))
             new = z.difference(new, there)
         spark = rows.sparkSession
         with self.store.next_version() as v:
-            v.append("rows", new, z.consolidate)
+            v.append("rows", new, z.consolidate, self.keys)
             one = spark.range(1).select(F.lit(delivery).alias("id"), F.lit(v.number).cast("long").alias("version"))
             v.append("deliveries", one, lambda df: df)
         return True

@@ -52,6 +52,10 @@ class Folder:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._Path(self.path(name)))
 
+    def size(self, name: str) -> int:
+        """Bytes of all files below a name."""
+        return self._fs.getContentSummary(self._Path(self.path(name))).getLength()
+
     def _read(self, name: str) -> str:
         stream = self._fs.open(self._Path(self.path(name)))
         try:
