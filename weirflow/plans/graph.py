@@ -253,11 +253,14 @@ class _Push:
         """
         kinds = delta.schema
         exact = lambda a: a.column is None or a.function == "count" or isinstance(kinds[a.column].dataType, EXACT.get(a.function, ()))
-        sums = [a for a in aggregates if exact(a)]
-        moved, shown = self._sums(n, delta, keys, sums, live)
-        for j, column in enumerate(dict.fromkeys(a.column for a in aggregates if not exact(a))):
+        sums, rest = [a for a in aggregates if exact(a)], list(dict.fromkeys(a.column for a in aggregates if not exact(a)))
+        # With one such column the change is read once, down to sums by group and value.
+        fine = self.version.share(self._change(delta, [*keys], sums, rest[0])) if len(rest) == 1 else None
+        moved, shown, touched = self._sums(n, delta, keys, sums, live, fine)
+        for j, column in enumerate(rest):
             own = [a for a in aggregates if a.column == column and not exact(a)]
-            more = self._values(f"{n.id}.values{j}", delta, keys, column, own, live)
+            change = fine if fine is not None else self._change(delta, [*keys], [], column)
+            more = self._values(f"{n.id}.values{j}", change, touched, keys, own, live)
             if not keys:
                 moved = moved.crossJoin(F.broadcast(more))  # a row each
                 continue
@@ -270,7 +273,7 @@ class _Push:
         exists = F.col("_n") > 0 if keys else F.lit(True)
         plus = moved.where(exists).select(*by, *pick(""), F.lit(1).cast("long").alias(z.WEIGHT))
         if len(sums) < len(aggregates):
-            return self._instead(n, plus, moved.select(*by), list(keys), live)
+            return self._instead(n, plus, touched, list(keys), live)
         existed = F.coalesce(F.col("_old_n"), F.lit(0)) > 0 if keys else F.lit(self.store.read(f"{n.id}.sums") is not None)
         minus = moved.where(existed).select(*by, *pick("_old"), F.lit(-1).cast("long").alias(z.WEIGHT))
         return self.settle(plus.unionAll(minus))
@@ -295,10 +298,10 @@ class _Push:
         else:
             self.version.write(name, fold(z.add([self.store.read(name), change])).where(live))
 
-    def _sums(self, n: p.Node, delta: DataFrame, keys: tuple[str, ...], aggregates: list[p.Agg], live: Column | None) -> tuple[DataFrame, Callable]:
-        """(touched groups with sums after and before, expression of an aggregate over them)."""
+    def _change(self, delta: DataFrame, keys: list[str], aggregates: list[p.Agg], value: str | None = None) -> DataFrame:
+        """Counts and sums of a change by group, and by the value of a column, _v, if one is named."""
         w = F.col(z.WEIGHT)
-        sums, place = [F.sum(w).alias("_n")], {a.output: i for i, a in enumerate(aggregates)}
+        sums = [F.sum(w).alias("_n")]
         for i, a in enumerate(aggregates):
             if a.column is None:
                 continue
@@ -309,9 +312,20 @@ class _Push:
                 sums.append(F.sum((wide if a.function != "sum" else c) * w).alias(f"_s{i}"))
             if a.function == "stddev_samp":
                 sums.append(F.sum(c.cast("long") * c.cast("long") * w.cast("decimal(18,0)")).alias(f"_q{i}"))
+        by = [batch.col(k) for k in keys] + ([batch.col(value).alias("_v")] if value else [])
+        return delta.groupBy(*by).agg(*sums) if by else delta.agg(*sums)
+
+    def _sums(self, n: p.Node, delta: DataFrame, keys: tuple[str, ...], aggregates: list[p.Agg], live: Column | None, fine: Delta) -> tuple[DataFrame, Callable, DataFrame]:
+        """(touched groups with sums after and before, expression of an aggregate over them, the touched groups)."""
+        place = {a.output: i for i, a in enumerate(aggregates)}
         by = [batch.col(k) for k in keys]
         name = f"{n.id}.sums"
-        change = self.version.share(delta.groupBy(*by).agg(*sums) if keys else delta.agg(*sums))
+        if fine is None:
+            change = self._change(delta, [*keys], aggregates)
+        else:
+            again = [F.sum(f"`{f}`").cast(fine.schema[f].dataType).alias(f) for f in fine.columns if f not in keys and f != "_v"]
+            change = fine.groupBy(*by).agg(*again) if keys else fine.agg(*again)
+        change = self.version.share(change)
         old = self.store.read(name, touched=change.select(*by), keys=list(keys)) if keys else self.store.read(name)
         kinds = change.schema
         fields = [c for c in change.columns if c not in keys]
@@ -341,22 +355,18 @@ class _Push:
             spread = F.coalesce(whole.cast("double"), count * square.cast("double") - total.cast("double") * total.cast("double"))
             return F.when(count > 1, F.sqrt(F.greatest(F.lit(0.0), spread) / F.when(count > 1, count * (count - 1.0))))
 
-        return moved, shown
+        return moved, shown, change.select(*by)
 
-    def _values(self, name: str, delta: DataFrame, keys: tuple[str, ...], column: str, aggregates: list[p.Agg], live: Column | None) -> DataFrame:
+    def _values(self, name: str, change: DataFrame, keyed: DataFrame, keys: tuple[str, ...], aggregates: list[p.Agg], live: Column | None) -> DataFrame:
         """Aggregates of touched groups as they are now, from how often each group has each value."""
-        by, v = [batch.col(k) for k in keys], batch.col(column)
+        by = [batch.col(k) for k in keys]
         fold = lambda df: df.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")).where("_w <> 0")
-        change = self.version.share(fold(delta.select(*by, v.alias("_v"), F.col(z.WEIGHT).alias("_w"))))
-        # All groups that the change touches, also where none of its values is new.
-        keyed = self.version.share(delta.select(*by).distinct()) if keys else None
-        old = self.store.read(name, touched=keyed, keys=list(keys))
+        change = change.select(*by, "_v", F.col("_n").alias("_w"))
+        old = self.store.read(name, touched=keyed, keys=list(keys)) if keys else self.store.read(name)
         self._add(name, change, fold, live, keys)
         both = change
         if old is not None:
             both = both.unionByName(z.same_key(old, keyed, list(keys)) if keys else old)
-        if keys:
-            both = both.unionByName(keyed.withColumns({"_v": F.lit(None).cast(change.schema["_v"].dataType), "_w": F.lit(0).cast("long")}))
         w = F.when(F.col("_v").isNotNull() & (F.col("_w") > 0), F.col("_w"))
         both = both.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")).withColumn("_w", w)
         number = F.col("_v").cast("double")
