@@ -334,9 +334,10 @@ def _ttl(kind: str, **lengths: int) -> Callable:
         cut = e.agg(F.percentile("t", 0.5).cast("long")).first()[0]
         graph.push({"events": e.where(F.col("t") <= cut)})
         graph.push({"events": e.where(F.col("t") > cut)})
-        most = max([graph.store.read(n).count() for n in graph.store.manifest["paths"] if n.startswith("w.") and "left" not in n])
-        shown = graph.result()
-        return shown.withColumn("bounded", F.lit(most <= 2 * max(1, shown.count())))
+        bound = e.agg(F.max("t")).first()[0] - TTL
+        states = [graph.store.read(n) for n in graph.store.manifest["paths"] if n.startswith("w.")]
+        given_up = sum(df.where(F.col("w_end") <= bound).count() for df in states if "w_end" in df.columns)
+        return graph.result().withColumn("bounded", F.lit(given_up == 0))
 
     return run
 
