@@ -26,7 +26,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, DecimalType, IntegerType, IntegralType, ShortType
+from pyspark.sql.types import ByteType, DecimalType, IntegerType, IntegralType, ShortType, StructType
 
 from weirflow.operators import batch
 from weirflow.operators import zset as z
@@ -35,6 +35,8 @@ from weirflow.plans.state import StateStore, Version
 
 Delta = DataFrame | None
 SUMS = ("count", "sum", "avg", "stddev_samp")
+#: What nodes keep in their state; it goes up when that changes, so that a folder of before is refused.
+LAYOUT = 2
 #: Types of which the sums that an aggregate needs are exact, so that what is added can be taken away.
 EXACT = {"sum": (IntegralType, DecimalType), "avg": (IntegralType, DecimalType), "stddev_samp": (ByteType, ShortType, IntegerType)}
 
@@ -44,13 +46,21 @@ class StreamGraph:
 
     def __init__(self, plan: p.Plan, spark: SparkSession, folder: str | None = None) -> None:
         self.plan, self.spark = plan.validate(), spark
-        self.store = StateStore(spark, plan.semantic_id(), folder)
+        self.store = StateStore(spark, f"{plan.semantic_id()}.{LAYOUT}", folder)
         # Nodes that hold whole rows or sums notice a row that is taken away without being there; where such a node
         # lies between the inputs and the result, the result need not be looked through for it.
         self._guarded: dict[str, bool] = {}
         for n in plan.nodes:
             linear = isinstance(n, (p.Filter, p.Project, p.Watermark, p.IntervalJoin)) or getattr(n, "how", "") == "inner" or getattr(n, "mode", "") == "union_all"
             self._guarded[n.id] = not isinstance(n, p.Input) and (not linear or all(self._guarded[i] for i in n.inputs()))
+        # Nodes whose change is read once, on the way to the result; it needs no copy, and the result is consolidated anyway.
+        self._once: dict[str, bool] = {}
+        for n in reversed(plan.nodes):
+            readers = [m for m in plan.nodes if n.id in m.inputs()]
+            if n.id == plan.output:
+                self._once[n.id] = not readers
+            else:
+                self._once[n.id] = len(readers) == 1 and isinstance(readers[0], (p.Filter, p.Project)) and self._once[readers[0].id]
 
     # -- state ------------------------------------------------------------
 
@@ -95,11 +105,11 @@ class StreamGraph:
                 if held is None:
                     raise p.PlanError("the first push needs every input, if only an empty one")
                 out = held.limit(0)
-            delta = version.share(z.consolidate(out))
+            delta = z.consolidate(out)
             if not self._guarded[self.plan.output]:
+                delta = version.share(delta)
                 run.check_output(held, delta)
-            version.write("delta", delta)
-            version.append("output", delta, z.consolidate)
+            version.append("output", delta, z.consolidate, also="delta")
         return self.store.read("delta")
 
 
@@ -120,9 +130,9 @@ class _Push:
         self.version.append(name, delta, z.consolidate, keys)
         return old, z.add([old, delta])
 
-    def settle(self, delta: Delta) -> Delta:
-        """The change of a node, computed once since several may read it."""
-        return None if delta is None else self.version.share(z.consolidate(delta))
+    def settle(self, n: p.Node, delta: Delta) -> Delta:
+        """The change of a node, computed once if it is read more than once."""
+        return delta if delta is None or self.graph._once[n.id] else self.version.share(z.consolidate(delta))
 
     def check_output(self, held: Delta, delta: DataFrame) -> None:
         """A row that leaves the result must be in it."""
@@ -163,7 +173,7 @@ class _Push:
             return meet(a, b).withColumn(z.WEIGHT, F.col("_wl") * F.col("_wr")).drop("_wl", "_wr")
 
         parts = [pair(left, old_r) if left is not None and old_r is not None else None, pair(new_l, right) if right is not None else None]
-        return self.settle(z.add(parts))
+        return self.settle(n, z.add(parts))
 
     def on_join(self, n: p.Join, left: Delta, right: Delta) -> Delta:
         if n.how == "inner":
@@ -194,7 +204,7 @@ class _Push:
         if gave:
             return self._instead(n, z.weighted(fn(*new)), None if whole else touched, [] if whole else keys[0], live)
         old = [bag(s if s is not None else t.limit(0)) for s, t in held]
-        return self.settle(z.difference(z.weighted(fn(*new)), z.weighted(fn(*old))))
+        return self.settle(n, z.add([z.weighted(fn(*new)), z.negate(z.weighted(fn(*old)))]))
 
     def on_distinct(self, n: p.Distinct, delta: Delta) -> Delta:
         return None if delta is None else self.touched(n, [delta], [z.values(delta)], DataFrame.distinct)
@@ -226,7 +236,7 @@ class _Push:
         keys, name = list(n.partition), f"{n.id}.gave"
         held = self.store.read(name)
         if held is not None:
-            delta = self.settle(delta)
+            delta = self.version.share(z.consolidate(delta))
             if delta.where(F.col(z.WEIGHT) < 0).isEmpty():
                 # Rows that only come can push rows out of what is shown, and nothing else of the state matters.
                 self.version.append(f"{n.id}.left", delta, z.consolidate, keys or None)
@@ -254,29 +264,40 @@ class _Push:
         kinds = delta.schema
         exact = lambda a: a.column is None or a.function == "count" or isinstance(kinds[a.column].dataType, EXACT.get(a.function, ()))
         sums, rest = [a for a in aggregates if exact(a)], list(dict.fromkeys(a.column for a in aggregates if not exact(a)))
-        # With one such column the change is read once, down to sums by group and value.
-        fine = self.version.share(self._change(delta, [*keys], sums, rest[0])) if len(rest) == 1 else None
-        moved, shown, touched = self._sums(n, delta, keys, sums, live, fine)
-        for j, column in enumerate(rest):
-            own = [a for a in aggregates if a.column == column and not exact(a)]
-            change = fine if fine is not None else self._change(delta, [*keys], [], column)
-            more = self._values(f"{n.id}.values{j}", change, touched, keys, own, live)
-            if not keys:
-                moved = moved.crossJoin(F.broadcast(more))  # a row each
-                continue
-            more = more.toDF(*[f"_j{i}" for i in range(len(keys))], *more.columns[len(keys) :])
-            on = [moved[f"`{k}`"].eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)]
-            moved = moved.join(more, reduce(lambda a, b: a & b, on)).drop(*[f"_j{i}" for i in range(len(keys))])
-        moved = self.version.share(moved)
+        if len(rest) == 1:
+            moved, shown, touched = self._counted(n, delta, keys, sums, rest[0], [a for a in aggregates if not exact(a)], live)
+        else:
+            moved, shown, touched = self._sums(n, delta, keys, sums, live)
+            for j, column in enumerate(rest):
+                own = [a for a in aggregates if a.column == column and not exact(a)]
+                more = self._values(f"{n.id}.values{j}", self._change(delta, [*keys], [], column), touched, keys, own, live)
+                if not keys:
+                    moved = moved.crossJoin(F.broadcast(more))  # a row each
+                    continue
+                more = more.toDF(*[f"_j{i}" for i in range(len(keys))], *more.columns[len(keys) :])
+                on = [moved[f"`{k}`"].eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)]
+                moved = moved.join(more, reduce(lambda a, b: a & b, on)).drop(*[f"_j{i}" for i in range(len(keys))])
         by = [batch.col(k) for k in keys]
         pick = lambda prefix: [(shown(prefix, a) if exact(a) else F.col(f"_now_{a.output}")).alias(a.output) for a in aggregates]
-        exists = F.col("_n") > 0 if keys else F.lit(True)
-        plus = moved.where(exists).select(*by, *pick(""), F.lit(1).cast("long").alias(z.WEIGHT))
-        if len(sums) < len(aggregates):
+        # A global aggregate is there whatever it counts; that it is read is what finds a count below 0.
+        exists = F.col("_n") > 0 if keys else F.coalesce(F.col("_n"), F.lit(0)) >= 0
+        if rest:
+            plus = moved.where(exists).select(*by, *pick(""), F.lit(1).cast("long").alias(z.WEIGHT))
             return self._instead(n, plus, touched, list(keys), live)
         existed = F.coalesce(F.col("_old_n"), F.lit(0)) > 0 if keys else F.lit(self.store.read(f"{n.id}.sums") is not None)
-        minus = moved.where(existed).select(*by, *pick("_old"), F.lit(-1).cast("long").alias(z.WEIGHT))
-        return self.settle(plus.unionAll(minus))
+        if not aggregates:
+            weight = exists.cast("long") - existed.cast("long")
+            return self._apart(n, moved.select(*by, weight.alias(z.WEIGHT)).where(F.col(z.WEIGHT) != 0))
+        side = lambda there, prefix, w: F.struct(there.alias("_there"), F.struct(*pick(prefix)).alias("_row"), F.lit(w).cast("long").alias(z.WEIGHT))
+        both = moved.select(*by, F.array(side(exists, "", 1), side(existed, "_old", -1)).alias("_both"))
+        now, was = F.col("_both")[0], F.col("_both")[1]
+        moves = ~(now["_there"] & was["_there"] & now["_row"].eqNullSafe(was["_row"]))
+        each = both.where(moves).select(*by, F.explode("_both").alias("_one")).where("_one._there")
+        return self._apart(n, each.select(*by, *[F.col("_one._row")[a.output].alias(a.output) for a in aggregates], F.col(f"_one.{z.WEIGHT}")))
+
+    def _apart(self, n: p.Node, delta: DataFrame) -> DataFrame:
+        """settle() for rows that are consolidated already."""
+        return delta if self.graph._once[n.id] else self.version.share(delta)
 
     def _instead(self, n: p.Node, new: DataFrame, touched: DataFrame, keys: list[str], live: Column | None = None) -> DataFrame:
         """The change from what was shown of the touched groups to what is now.
@@ -287,7 +308,7 @@ class _Push:
         old = self.store.read(name, touched=touched if keys else None, keys=keys)
         if old is not None and keys:
             old = z.same_key(old, touched, keys)
-        out = self.settle(z.difference(new, old))
+        out = self.version.share(z.difference(new, old))
         self._add(name, out, z.consolidate, live, keys)
         return out
 
@@ -315,17 +336,11 @@ class _Push:
         by = [batch.col(k) for k in keys] + ([batch.col(value).alias("_v")] if value else [])
         return delta.groupBy(*by).agg(*sums) if by else delta.agg(*sums)
 
-    def _sums(self, n: p.Node, delta: DataFrame, keys: tuple[str, ...], aggregates: list[p.Agg], live: Column | None, fine: Delta) -> tuple[DataFrame, Callable, DataFrame]:
+    def _sums(self, n: p.Node, delta: DataFrame, keys: tuple[str, ...], aggregates: list[p.Agg], live: Column | None) -> tuple[DataFrame, Callable, DataFrame]:
         """(touched groups with sums after and before, expression of an aggregate over them, the touched groups)."""
-        place = {a.output: i for i, a in enumerate(aggregates)}
         by = [batch.col(k) for k in keys]
         name = f"{n.id}.sums"
-        if fine is None:
-            change = self._change(delta, [*keys], aggregates)
-        else:
-            again = [F.sum(f"`{f}`").cast(fine.schema[f].dataType).alias(f) for f in fine.columns if f not in keys and f != "_v"]
-            change = fine.groupBy(*by).agg(*again) if keys else fine.agg(*again)
-        change = self.version.share(change)
+        change = self.version.share(self._change(delta, [*keys], aggregates))
         old = self.store.read(name, touched=change.select(*by), keys=list(keys)) if keys else self.store.read(name)
         kinds = change.schema
         fields = [c for c in change.columns if c not in keys]
@@ -337,8 +352,16 @@ class _Push:
             both = both.unionByName((z.same_key(old, change.select(*by), list(keys)) if keys else old).withColumn("_before", F.lit(1)))
         before = [F.sum(F.when(F.col("_before") == 1, F.col(f"`{f}`"))).alias(f"_old{f}") for f in fields]
         moved = both.groupBy(*by).agg(*total, *before) if keys else both.agg(*total, *before)
+        return self._no_less(n, moved), self._shown(kinds, aggregates), change.select(*by)
+
+    def _no_less(self, n: p.Node, moved: DataFrame) -> DataFrame:
+        """moved, which must have no group of less than 0 rows once _n is read."""
         bad = F.raise_error(F.lit(f"{n.id}: a change takes away a row that is not there")).cast("long")
-        moved = moved.withColumn("_n", F.when(F.col("_n") < 0, bad).otherwise(F.col("_n")))
+        return moved.withColumn("_n", F.when(F.col("_n") < 0, bad).otherwise(F.col("_n")))
+
+    def _shown(self, kinds: StructType, aggregates: list[p.Agg]) -> Callable:
+        """The expression of an aggregate over sums, whose names have the prefix."""
+        place = {a.output: i for i, a in enumerate(aggregates)}
 
         def shown(prefix: str, a: p.Agg) -> Column:
             i = place[a.output]
@@ -355,7 +378,23 @@ class _Push:
             spread = F.coalesce(whole.cast("double"), count * square.cast("double") - total.cast("double") * total.cast("double"))
             return F.when(count > 1, F.sqrt(F.greatest(F.lit(0.0), spread) / F.when(count > 1, count * (count - 1.0))))
 
-        return moved, shown, change.select(*by)
+        return shown
+
+    def _counted(self, n: p.Node, delta: DataFrame, keys: tuple[str, ...], sums: list[p.Agg], column: str, rest: list[p.Agg], live: Column | None) -> tuple[DataFrame, Callable, DataFrame]:
+        """Like _sums() as they are now, with aggregates of one column's values: sums are kept by group and value, in one state."""
+        by, name = [batch.col(k) for k in keys], f"{n.id}.values"
+        change = self.version.share(self._change(delta, [*keys], sums, column))
+        kinds = change.schema
+        fields = [c for c in change.columns if c not in keys and c != "_v"]
+        total = [F.sum(f"`{f}`").cast(kinds[f].dataType).alias(f) for f in fields]
+        touched = change.select(*by).distinct()
+        old = self.store.read(name, touched=touched, keys=list(keys)) if keys else self.store.read(name)
+        self._add(name, change, lambda df: df.groupBy(*by, "_v").agg(*total).where("_n <> 0"), live, keys)
+        if old is not None:
+            change = change.unionByName(z.same_key(old, touched, list(keys)) if keys else old)
+        w = F.when(F.col("_v").isNotNull() & (F.col("_n") > 0), F.col("_n"))
+        moved = self._of_values(change.groupBy(*by, "_v").agg(*total).withColumn("_w", w), keys, rest, total)
+        return self._no_less(n, moved), self._shown(kinds, sums), touched
 
     def _values(self, name: str, change: DataFrame, keyed: DataFrame, keys: tuple[str, ...], aggregates: list[p.Agg], live: Column | None) -> DataFrame:
         """Aggregates of touched groups as they are now, from how often each group has each value."""
@@ -368,7 +407,11 @@ class _Push:
         if old is not None:
             both = both.unionByName(z.same_key(old, keyed, list(keys)) if keys else old)
         w = F.when(F.col("_v").isNotNull() & (F.col("_w") > 0), F.col("_w"))
-        both = both.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")).withColumn("_w", w)
+        return self._of_values(both.groupBy(*by, "_v").agg(F.sum("_w").alias("_w")).withColumn("_w", w), keys, aggregates)
+
+    def _of_values(self, both: DataFrame, keys: tuple[str, ...], aggregates: list[p.Agg], more: Sequence[Column] = ()) -> DataFrame:
+        """Aggregates of groups from how often, _w, each has a value, _v; more are computed beside."""
+        by = [batch.col(k) for k in keys]
         number = F.col("_v").cast("double")
         if any(a.function == "stddev_samp" for a in aggregates):
             group = Window.partitionBy(*by) if keys else Window.partitionBy(F.lit(0))
@@ -387,7 +430,7 @@ class _Push:
             apart = number - F.col("_mean")
             return F.when(F.sum(w) > 1, F.sqrt(F.sum(apart * apart * w) / F.nullif(F.sum(w) - 1, F.lit(0))))
 
-        out = [made(a).alias(f"_now_{a.output}") for a in aggregates]
+        out = [*more, *[made(a).alias(f"_now_{a.output}") for a in aggregates]]
         return both.groupBy(*by).agg(*out) if keys else both.agg(*out)
 
     # -- time -------------------------------------------------------------
@@ -411,15 +454,15 @@ class _Push:
             return None
         marked = self._late(n, delta, n.time, n.lateness)
         if n.policy == "side":
-            return self.settle(marked)
-        return self.settle((marked.where("_late = 0") if n.policy == "drop" else marked).drop("_late"))
+            return self.settle(n, marked)
+        return self.settle(n, (marked.where("_late = 0") if n.policy == "drop" else marked).drop("_late"))
 
     def on_timewindow(self, n: p.TimeWindow, delta: Delta) -> Delta:
         if delta is None:
             return None
         if n.late_policy == "drop" or n.ttl is not None:
             marked = self._late(n, delta, n.time, n.lateness)
-            delta = self.settle((marked.where("_late = 0") if n.late_policy == "drop" else marked).drop("_late"))
+            delta = self.version.share((marked.where("_late = 0") if n.late_policy == "drop" else marked).drop("_late"))
         delta = delta.where(batch.col(n.time).isNotNull())
         bound = self._bound(n) if n.ttl is not None else None
         if n.kind == "session":
@@ -452,7 +495,7 @@ class _Push:
         old = self.store.read(name)
         kept = z.consolidate(z.add([old, out])).where(F.coalesce(F.col("w_end") > bound, F.lit(True)))
         kept = self.version.write(name, self.version.share(kept))
-        return self.settle(z.difference(kept, old) if old is not None else kept)
+        return self.settle(n, z.difference(kept, old) if old is not None else kept)
 
     # -- whole inputs -----------------------------------------------------
 
@@ -464,7 +507,7 @@ class _Push:
         name = f"{n.id}.result"
         old = self.store.read(name)
         now = self.version.write(name, self.version.share(z.consolidate(z.weighted(new))))
-        return self.settle(now if old is None else z.difference(now, old))
+        return self.settle(n, now if old is None else z.difference(now, old))
 
     def on_recompute(self, n: p.Recompute, *deltas: Delta) -> Delta:
         return self._whole(n, deltas, lambda frames: self.spark.sql(n.sql, **_named(n.tables, frames)))

@@ -51,23 +51,31 @@ class Version:
         self.extra: dict = {}
         self.bucketed: dict[str, list[str]] = dict(store.manifest.get("bucketed", {}))
         self.by: dict[str, list[str]] = {}
+        self.same: dict[str, str] = {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """df takes the place of what the name has had."""
         self.paths[name] = []
         return self._later(name, df)
 
-    def append(self, name: str, df: DataFrame, fold: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> None:
-        """df adds to what the name has; fold makes one collection of many parts, in buckets by the keys if it is large."""
+    def append(self, name: str, df: DataFrame, fold: Callable[[DataFrame], DataFrame], keys: list[str] | None = None, also: str | None = None) -> None:
+        """df adds to what the name has; fold makes one collection of many parts, in buckets by the keys if it is large.
+
+        also is a name that has df alone; it is written once for both, unless it is folded.
+        """
         if len(self.paths.get(name, ())) >= self.MOST_PARTS:
             kinds = [df.schema[k].dataType for k in keys or ()]
             # Equal floating-point keys may have different bits, and so different hashes.
             if keys and not any(isinstance(t, (FloatType, DoubleType)) for t in kinds) and self.store.size(name) >= self.BUCKET_BYTES:
                 self.by[name] = keys
+            if also:
+                df = self.write(also, self.share(df))
             self.write(name, fold(self.store.read(name).unionByName(df)))
         else:
             self.paths.setdefault(name, [])
             self._later(name, df)
+            if also:
+                self.same[name], self.schemas[also] = also, self.schemas[name]
 
     def share(self, df: DataFrame) -> DataFrame:
         """df, computed once for all that read it in this version; a lost part is computed again."""
@@ -94,6 +102,8 @@ class Version:
             list(pool.map(one, self.pending))
         for name in self.pending:
             self.paths[name].append(f"{folder}/{name}")
+            if name in self.same:
+                self.paths[self.same[name]] = [f"{folder}/{name}"]
             if name in self.by:
                 self.bucketed[f"{folder}/{name}"] = self.by[name]
         used = {x for parts in self.paths.values() for x in parts}
