@@ -313,3 +313,28 @@ def test_rows_that_only_come_leave_the_table_unread(spark, monkeypatch):
     assert "t.left" not in asked
     graph.push({"e": rows(("a", 9, -1), ("c", 5, -1))})
     assert sorted(tuple(r) for r in graph.result().collect()) == [("a", 2), ("a", 3), ("b", 1), ("c", 5)]
+
+
+def test_sums_beside_one_column_of_values(spark):
+    """Sums of whole numbers move although no value does, over folds, and a group that empties goes."""
+    schema = "id int, k string, v double, c int"
+    frame = lambda *rows: spark.createDataFrame(list(rows), f"{schema}, {z.WEIGHT} long")
+    sql = "SELECT k, SUM(c) AS s, COUNT(*) AS n, AVG(v) AS a, MAX(v) AS m FROM t GROUP BY k"
+    graph = StreamGraph(compile_sql(spark, sql, {"t": spark.createDataFrame([], schema).schema}), spark)
+    graph.push({"t": frame((1, "a", 0.5, 0, 1), (2, "a", None, 7, 1), (3, "b", 1.5, 1, 1))})
+    for i in range(9):
+        gone = [(3, "b", 1.5, 1, -1)] if i == 8 else []
+        change = graph.push({"t": frame((1, "a", 0.5, i, -1), (1, "a", 0.5, i + 1, 1), *gone)})
+        if i in (0, 7, 8):
+            b = [("b", 1, 1, 1.5, 1.5, -1)] if gone else []
+            assert sorted(tuple(r) for r in change.collect()) == sorted([("a", 7 + i, 2, 0.5, 0.5, -1), ("a", 8 + i, 2, 0.5, 0.5, 1), *b])
+    assert [tuple(r) for r in graph.result().collect()] == [("a", 16, 2, 0.5, 0.5)]
+
+
+def test_global_sum_notices_what_is_not_there(spark):
+    schema = {"orders": spark.createDataFrame([], ORDERS).schema}
+    graph = StreamGraph(compile_sql(spark, "SELECT SUM(amount) AS s FROM orders", schema), spark)
+    graph.push({"orders": orders(spark, (1, "open", 5, 1, 1))})
+    with pytest.raises(Exception, match="takes away a row"):
+        graph.push({"orders": orders(spark, (1, "open", 5, 1, -1), (2, "open", 5, 1, -1))})
+    assert [tuple(r) for r in graph.result().collect()] == [(5,)]
